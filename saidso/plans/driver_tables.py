@@ -61,6 +61,41 @@ HEDGED_COLUMNS = {
     ),
 }
 
+_VERDICTS = "WHEN 0 THEN 'correct' WHEN 1 THEN 'incorrect' WHEN 2 THEN 'partial' WHEN 3 THEN 'unresolvable' ELSE 'too_early' END"
+
+
+def _vote(j: int, judge: str) -> tuple[str, str, str]:
+    k = "o_orderkey"
+    pick = f"CASE WHEN {k} % 9 = 0 THEN ({k} + {j}) % 5 WHEN {k} % 4 = {j} THEN ({k} + 1) % 5 ELSE {k} % 5 END"
+    percent = f"(({k} * 13 + {j} * 29) % 101)"
+    conf = f"CAST(CASE WHEN {k} % 3 = 0 THEN CAST({percent} AS DOUBLE) ELSE CAST({percent} AS DOUBLE) / 100 END AS DOUBLE)"
+    return judge, f"CASE {pick} {_VERDICTS}", conf
+
+
+# (judge, verdict, confidence) of each order's votes.
+VOTES = (_vote(0, "A"), _vote(1, "B"), _vote(2, "C"))
+
+_SITE = "concat('site', CAST(l_suppkey % 5 AS STRING), '.example.com/a/', CAST(l_partkey % 7 AS STRING)"
+_JUDGE = "CASE WHEN l_linenumber % 2 = 0 THEN 'A' ELSE 'B' END"
+
+EVIDENCE_COLUMNS = {
+    "claim_id": "l_orderkey",
+    "judge": _JUDGE,
+    "pos": "l_linenumber * 10000000 + l_partkey",
+    "part": "l_partkey",
+    "url": f"concat('https://www.', {_SITE}), '/?utm_source=x&id=', CAST(l_linenumber % 3 AS STRING), '#top')",
+    "title": "concat('part ', CAST(l_partkey AS STRING))",
+    "date": "CAST(l_shipdate AS DATE)",
+    "snippet": "l_returnflag",
+}
+
+PAGE_COLUMNS = {
+    "claim_id": "l_orderkey",
+    "judge": _JUDGE,
+    "pos": "l_linenumber * 10000000 + l_partkey",
+    "url": f"concat('http://', {_SITE}), '?id=', CAST(l_linenumber % 3 AS STRING), '&UTM_medium=y')",
+}
+
 
 def select_sql(columns: dict[str, str], table: str) -> str:
     return "SELECT " + ",\n  ".join(f"{sql} AS {name}" for name, sql in columns.items()) + f"\nFROM {table}"

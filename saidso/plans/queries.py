@@ -7,9 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from saidso.functions import hedge as H
+from saidso.functions import ids as I
+from saidso.functions import urls as U
+from saidso.functions import wording as W
 from saidso.operators import drift as D
+from saidso.operators import ledger as L
+from saidso.operators import quality as Q
 from saidso.operators import scores as S
-from saidso.plans.driver_tables import TODAY, ledger
+from saidso.operators import sync as Y
+from saidso.operators import votes as V
+from saidso.plans.driver_tables import (
+    EVIDENCE_COLUMNS, HEDGED_COLUMNS, PAGE_COLUMNS, TODAY, VOTES, ledger, project, table,
+)
+from saidso.sources import pages as P
+from saidso.sources import training as TR
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,7 +48,7 @@ SCORE_COLUMNS = (
 @query
 def person_scorecard(spark: SparkSession, sf: str) -> DataFrame:
     s = S.person_scorecard(drifted(spark, sf))
-    return s.select(*SCORE_COLUMNS, _r("accuracy"), _r("credit_accuracy"), _r("brier"), _r("lateness_multiplier"))
+    return s.select(*SCORE_COLUMNS, "accuracy", "credit_accuracy", "brier", _r("lateness_multiplier"))
 
 
 @query
@@ -44,7 +56,7 @@ def leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     s = S.leaderboard(S.person_scorecard(drifted(spark, sf)))
     return s.select(
         "person_slug", "predictions", "correct", "incorrect", "partial", "open", "drift_events", "thin_record", "versus_coin_flip",
-        _r("accuracy"), _r("brier"), _r("lateness_multiplier"),
+        "accuracy", "brier", _r("lateness_multiplier"),
     )
 
 
@@ -55,12 +67,12 @@ def corpus_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def topic_scorecard(spark: SparkSession, sf: str) -> DataFrame:
-    return S.topic_scorecard(ledger(spark, sf)).withColumn("accuracy", F.round("accuracy", 6))
+    return S.topic_scorecard(ledger(spark, sf))
 
 
 @query
 def calibration(spark: SparkSession, sf: str) -> DataFrame:
-    return S.calibration(ledger(spark, sf)).select("person_slug", "bucket_no", "bucket", "n", _r("predicted"), _r("observed"))
+    return S.calibration(ledger(spark, sf)).select("person_slug", "bucket_no", "bucket", "n", "predicted", "observed")
 
 
 @query
@@ -74,3 +86,275 @@ def deadline_drift(spark: SparkSession, sf: str) -> DataFrame:
         "id", "person_slug", "topic", F.col("detected.label").alias("label"), F.col("detected.previous_claim_id").alias("previous_claim_id"),
         F.col("detected.note").alias("note"),
     )
+
+
+@query
+def moving_chains(spark: SparkSession, sf: str) -> DataFrame:
+    top = D.moving_chains(D.chain_counts(drifted(spark, sf)))
+    return top.select("person_slug", "topic", "claims", "notable", "first_said", "last_said", "first_deadline", "last_deadline")
+
+
+@query
+def chain_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return D.chain_summaries(D.printed_stories(D.chain_counts(drifted(spark, sf)))).select(
+        "person_slug", "topic", "claims", "pushed_later", "pulled_earlier", "first_deadline", "last_deadline", "summary", "story"
+    )
+
+
+@query
+def latest_move(spark: SparkSession, sf: str) -> DataFrame:
+    return D.latest_move(drifted(spark, sf))
+
+
+@query
+def chain_steps(spark: SparkSession, sf: str) -> DataFrame:
+    claims = ledger(spark, sf)
+    return D.chain_steps(claims, D.chain_counts(claims)).select("person_slug", "topic", "said_date", "id", "step")
+
+
+@query
+def drift_label_merge(spark: SparkSession, sf: str) -> DataFrame:
+    claims, _ = _with_curated(ledger(spark, sf))
+    return D.merge_labels(claims, _proposed_labels(claims)).select(
+        "id", F.col("drift.label").alias("label"), F.col("drift.previous_claim_id").alias("previous_claim_id"), F.col("drift.note").alias("note"),
+        F.col("drift.labeled_by").alias("labeled_by"),
+    )
+
+
+def _with_curated(claims: DataFrame) -> tuple[DataFrame, str]:
+    key = F.col("claim").cast("long")
+    by_hand = F.struct(
+        F.lit("softened").alias("label"), F.lit(None).cast("string").alias("previous_claim_id"), F.lit("Hand label.").alias("note"),
+        F.lit("human:editor").alias("labeled_by"),
+    )
+    return claims.withColumn("drift", F.when((key % 13 == 0) & (F.col("origin") == "seed"), by_hand)), "softened"
+
+
+def _proposed_labels(claims: DataFrame) -> DataFrame:
+    """Two proposals per claim; the first valid one counts."""
+    key = F.col("claim").cast("long")
+    labels = F.array(*[F.lit(x) for x in ("goalposts_moved", "reversed", "escalated", "softened", "reaffirmed", "nonsense")])
+    note = F.when(key % 11 == 0, "A broken promise.").when(key % 11 == 1, "").otherwise(F.concat(F.lit("Restated differently in order "), "claim", F.lit(".")))
+    rows = F.array(
+        F.struct(F.lit(1).alias("ordinal"), F.element_at(labels, (key % 6 + 1).cast("int")).alias("label"), note.alias("note")),
+        F.struct(F.lit(2).alias("ordinal"), F.lit("reversed").alias("label"), F.lit("Second thoughts.").alias("note")),
+    )
+    return claims.select("person_slug", "topic", F.col("id").alias("claim_id"), F.explode(rows).alias("r"), F.lit("model-x").alias("labeled_by")).select(
+        "person_slug", "topic", "claim_id", "labeled_by", "r.*"
+    )
+
+
+@query
+def due_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    return L.due_predictions(ledger(spark, sf), TODAY).select("id", "person_slug", "said_date", "target_date", "verdict")
+
+
+@query
+def person_slice(spark: SparkSession, sf: str) -> DataFrame:
+    return L.person_slice(ledger(spark, sf), "person-5").select("id", "said_date", "type", "topic", "verdict")
+
+
+@query
+def latest_statements(spark: SparkSession, sf: str) -> DataFrame:
+    return L.latest(ledger(spark, sf)).select("id", "person_slug", "said_date", "claim")
+
+
+@query
+def statement_facets(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger(spark, sf).select("id", F.array_join(L.facets(), " ").alias("tags"))
+
+
+@query
+def people_ranking_wrong(spark: SparkSession, sf: str) -> DataFrame:
+    return S.rank_people_or_retry(ledger(spark, sf), "wrong").select("person_slug", "correct", "incorrect", "partial", "accuracy", "thin")
+
+
+@query
+def people_ranking_right(spark: SparkSession, sf: str) -> DataFrame:
+    return S.rank_people_or_retry(ledger(spark, sf), "right").select("person_slug", "correct", "incorrect", "partial", "accuracy", "thin")
+
+
+@query
+def claim_ids(spark: SparkSession, sf: str) -> DataFrame:
+    c = ledger(spark, sf)
+    return c.select(
+        F.col("id").alias("stored_id"), I.claim_id(I.slugify(F.col("person")), F.col("said_date"), F.col("claim")).alias("id"),
+        I.slugify(F.col("person")).alias("person_slug"),
+    )
+
+
+@query
+def claim_quality(spark: SparkSession, sf: str) -> DataFrame:
+    p = Q.claim_problems(ledger(spark, sf), TODAY)
+    return p.select("id", "severity", F.regexp_replace("message", r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]+\.[0-9]+", "#").alias("message"))
+
+
+@query
+def duplicate_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """The ledger next to a second part that repeats every partly true claim."""
+    c = ledger(spark, sf)
+    return Q.duplicate_ids(c.unionByName(c.where(F.col("verdict") == "partial")))
+
+
+@query
+def ledger_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.ledger_totals(ledger(spark, sf))
+
+
+def _reextracted(c: DataFrame) -> DataFrame:
+    """A second extraction of every claim: some reworded, some with another hedge, none graded, and each row twice."""
+    reworded = F.col("specificity") == 5
+    once = c.select(
+        F.when(~reworded, F.col("id")).alias("id"), "person_slug", "said_date", "topic",
+        F.when(reworded, F.concat("claim", F.lit(" Again!"))).otherwise(F.col("claim")).alias("claim"),
+        F.when(F.col("specificity") == 2, "maybe").otherwise(F.col("hedge")).alias("hedge"),
+        F.lit("pending").alias("verdict"), F.lit(None).cast(c.schema["grading"].dataType).alias("grading"), F.lit("extracted").alias("origin"),
+    )
+    return once.withColumn("ordinal", F.explode(F.array(F.lit(1), F.lit(2))))
+
+
+@query
+def ledger_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    c = ledger(spark, sf)
+    return L.upsert(c, _reextracted(c)).select(
+        "id", "person_slug", "claim", "hedge", "verdict", "origin", "specificity", F.col("grading").isNotNull().alias("graded"), "change"
+    )
+
+
+@query
+def field_patch(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders that shipped get a new hedge; every patch row also carries a NULL that must change nothing."""
+    c = ledger(spark, sf)
+    updates = c.select(
+        F.when(F.col("specificity") == 1, F.lit("unknown")).otherwise(F.col("id")).alias("id"),
+        F.when(F.col("verdict") == "correct", "definitely").alias("hedge"), F.lit(None).cast("string").alias("topic"),
+    ).where(F.col("id") != "unknown")
+    return L.patch(c, updates, ["hedge", "topic"]).select("id", "hedge", "topic")
+
+
+def _votes(spark: SparkSession, sf: str) -> DataFrame:
+    """Two or three judge votes per order."""
+    votes = F.array(*[F.expr(f"named_struct('judge', '{j}', 'verdict', {verdict}, 'confidence', {conf})") for j, verdict, conf in VOTES])
+    return (
+        table(spark, sf, "orders")
+        .select(F.col("o_orderkey").alias("claim_id"), F.explode(votes).alias("v"))
+        .select("claim_id", "v.*")
+        .where((F.col("judge") != "C") | (F.col("claim_id") % 4 != 1))
+    )
+
+
+@query
+def vote_combine(spark: SparkSession, sf: str) -> DataFrame:
+    return V.combine_votes(_votes(spark, sf))
+
+
+@query
+def tie_break_demand(spark: SparkSession, sf: str) -> DataFrame:
+    return V.tie_break_demand(_votes(spark, sf).where(F.col("judge") != "C"))
+
+
+@query
+def deadline_gate(spark: SparkSession, sf: str) -> DataFrame:
+    return V.deadline_gate(ledger(spark, sf), TODAY)
+
+
+def _evidence(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Line items as evidence links of an order's judges, and the pages those judges read."""
+    li = table(spark, sf, "lineitem")
+    ev = project(li, EVIDENCE_COLUMNS)
+    read = project(li.where("l_returnflag <> 'N'"), PAGE_COLUMNS)
+    return ev, read
+
+
+@query
+def evidence_verified(spark: SparkSession, sf: str) -> DataFrame:
+    ev, read = _evidence(spark, sf)
+    return V.verified_evidence_rows(ev, read).select("claim_id", "judge", "pos", "part", "url", "key")
+
+
+@query
+def evidence_merge(spark: SparkSession, sf: str) -> DataFrame:
+    ev, read = _evidence(spark, sf)
+    ok = V.verified_evidence_rows(ev, read)
+    cited = read.select("claim_id", "judge", "pos", "url", F.lit(None).cast("string").alias("title"))
+    claims = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("claim_id"), F.lit("https://site0.example.com/a/0?id=0").alias("own_url"),
+        F.col("o_orderdate").cast("date").alias("target_date"),
+    )
+    merged = V.merge_evidence(ok, cited, claims)
+    return merged.select("claim_id", F.posexplode("evidence").alias("place", "e")).select("claim_id", "place", "e.url", "e.date")
+
+
+@query
+def hedge_probability(spark: SparkSession, sf: str) -> DataFrame:
+    h = project(table(spark, sf, "documents"), HEDGED_COLUMNS)
+    return h.select("doc_id", H.match_hedge(F.col("hedge"))["phrase"].alias("phrase"), H.implied_probability(F.col("hedge")).alias("p"))
+
+
+@query
+def implied_and_claim_probability(spark: SparkSession, sf: str) -> DataFrame:
+    h = project(table(spark, sf, "documents"), HEDGED_COLUMNS)
+    return h.select(
+        "doc_id", H.implied_probability(F.col("hedge"), F.col("claim")).alias("implied"), H.claim_probability(F.col("hedge"), F.col("claim")).alias("claim_p")
+    )
+
+
+@query
+def url_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", U.url_key(F.col("url")).alias("url_key"), U.source_key(F.col("url")).alias("source_key"))
+
+
+@query
+def public_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page's own URL and a numeric-host variant of it."""
+    octets = F.concat_ws(".", *[F.expr(f"CAST((page_id * {m}) % 256 AS STRING)") for m in (1, 7, 13, 29)])
+    p = table(spark, sf, "pages").select(
+        "page_id", F.explode(F.array(F.col("url"), F.concat(F.lit("http://"), octets, F.lit("/x")))).alias("url")
+    )
+    return p.select("page_id", "url", U.public_url(F.col("url")).alias("public"))
+
+
+@query
+def page_titles(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", P.page_title(F.col("html")).alias("title"))
+
+
+@query
+def page_text(spark: SparkSession, sf: str) -> DataFrame:
+    return P.page_text(table(spark, sf, "pages")).select("page_id", "text", "unsettled")
+
+
+@query
+def sft_export(spark: SparkSession, sf: str) -> DataFrame:
+    t = TR.training_lines(ledger(spark, sf))
+    return t.select("id", F.get_json_object("value", "$.messages[1].content").alias("prompt"), F.get_json_object("value", "$.messages[2].content").alias("answer"))
+
+
+@query
+def scorecard_parity(spark: SparkSession, sf: str) -> DataFrame:
+    """Against an external card that has one bet too many for people with a prime-ish number of bets."""
+    s = S.person_scorecard(ledger(spark, sf))
+    external = s.select("person_slug", "accuracy", "brier", (F.col("predictions") + F.when(F.col("predictions") % 7 == 0, 1).otherwise(0)).alias("total_bets"))
+    return S.scorecard_parity(s, external)
+
+
+@query
+def sync_plan(spark: SparkSession, sf: str) -> DataFrame:
+    c, takes = _linked(ledger(spark, sf))
+    return Y.sync_plan(c, takes).select("id", "page", "action", "row", "quality", "held", "text")
+
+
+def _linked(c: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Claims at every stage of a sync, and the takes the store already holds."""
+    key = F.col("claim").cast("long")
+    linked = F.struct(
+        F.concat(F.lit("people/"), "person_slug").alias("page"), F.when(key % 5 < 3, key.cast("int")).alias("row"), (key % 5 != 4).alias("timeline_written"),
+        F.when((key % 5 == 0) & F.col("verdict").isin("correct", "incorrect"), F.lit("correct")).alias("resolved_quality"),
+    )
+    takes = c.where(key % 5 != 4).select(
+        F.col("claim").cast("int").alias("row_num"), W.take_text(F.col("claim"), F.col("target_date")).alias("claim"),
+        W.take_kind(F.col("type")).alias("kind"), F.concat(F.lit("people/"), "person_slug").alias("holder"), F.lit(0.5).alias("weight"),
+        W.take_source(F.col("source"), F.col("said_date")).alias("source"), (key % 11 != 0).alias("active"),
+        F.when((key % 5 == 2) & (F.col("verdict") == "incorrect"), F.lit("correct")).alias("resolved_quality"),
+    )
+    return c.withColumn("link", F.when(key % 5 != 3, linked)), takes
