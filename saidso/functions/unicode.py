@@ -25,6 +25,10 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
+# Marked so the optimizer never copies a Python call into every place its result is used.
+_nfkd, _nfkc = _nfkd.asNondeterministic(), _nfkc.asNondeterministic()
+
+
 def _beyond_ascii(s: Column) -> Column:
     return F.when(s.rlike(r"[^\x{00}-\x{7F}]"), s)
 

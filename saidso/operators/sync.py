@@ -161,7 +161,7 @@ def track_record(scores: DataFrame, topics: DataFrame, summaries: DataFrame) ->
                     t("Predictions: ", c("correct"), " correct, ", c("incorrect"), " incorrect, ", c("partial"), " partial, ", c("unresolvable"),
                       " unresolvable, ", c("too_early"), " too early, ", c("pending"), " pending"),
                     t("Accuracy: ", pct(c("accuracy")), " (", c("correct"), " of ", c("correct") + c("incorrect"), " resolved correct/incorrect)"),
-                    t("Brier: ", F.coalesce(F.format_string("%.3f", c("brier")), F.lit("n/a")), " (coin-flip baseline 0.25; lower is better)"),
+                    t("Brier: ", F.when(c("brier").isNotNull(), F.format_string("%.3f", c("brier"))).otherwise("n/a"), " (coin-flip baseline 0.25; lower is better)"),
                     F.when(c("lateness_multiplier").isNotNull(), t("Lateness: ", F.format_string("%.1f", c("lateness_multiplier")), "× the promised time (median of late-but-true predictions)")),
                     t("Drift events: ", c("drift_events")),
                 )

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cpus: str | int = "*", app: str = "saidso") -> SparkSession:
@@ -28,19 +28,21 @@ def local_session(cpus: str | int = "*", app: str = "saidso") -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint `df` in the folder the cluster names, so a lost executor never replays an iteration."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints; a fresh temporary one only where none is set, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(named)
+    return named
 
 
-BROADCAST_ROWS = 200_000
+def materialize(df: DataFrame) -> DataFrame:
+    """Write `df` once and read it back.
 
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast `df` only after counting that it holds at most `rows` rows; beyond that the join shuffles."""
-    n = df.limit(rows + 1).count()
-    return F.broadcast(df) if n <= rows else df
+    Lineage ends at files that outlive any executor, readers prune columns, and the
+    planner knows the size of what it reads, so small tables broadcast by themselves.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/saidso-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
