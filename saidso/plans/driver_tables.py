@@ -111,7 +111,11 @@ def project(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`orders` as a claim ledger with nested source and grading; unused columns are pruned from the scan."""
-    flat = project(table(spark, sf_dir, "orders"), LEDGER_COLUMNS)
+    return as_claims(project(table(spark, sf_dir, "orders"), LEDGER_COLUMNS))
+
+
+def as_claims(flat: DataFrame) -> DataFrame:
+    """The flat projection with nested source and grading, in the claims schema."""
     graded = ~F.col("verdict").isin("pending", "too_early")
     none = F.lit(None)
     return flat.select(

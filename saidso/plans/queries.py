@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,17 +12,28 @@ from saidso.functions import hedge as H
 from saidso.functions import ids as I
 from saidso.functions import urls as U
 from saidso.functions import wording as W
+from saidso.operators import appearances as A
+from saidso.operators import chunks as C
 from saidso.operators import drift as D
+from saidso.operators import extraction as X
+from saidso.operators import feed as FD
+from saidso.operators import layout as Y2
 from saidso.operators import ledger as L
+from saidso.operators import people as PL
 from saidso.operators import quality as Q
+from saidso.operators import quotes as K
+from saidso.operators import retrieval as R
 from saidso.operators import scores as S
 from saidso.operators import sync as Y
 from saidso.operators import votes as V
 from saidso.plans.driver_tables import (
-    EVIDENCE_COLUMNS, HEDGED_COLUMNS, PAGE_COLUMNS, TODAY, VOTES, ledger, project, table,
+    EVIDENCE_COLUMNS, HEDGED_COLUMNS, LEDGER_COLUMNS, PAGE_COLUMNS, TODAY, VOTES, as_claims, ledger, project, table,
 )
+from saidso.session import materialize, scratch
+from saidso.sources import ledger_files as LF
 from saidso.sources import pages as P
 from saidso.sources import training as TR
+from saidso.streaming import jobs as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -358,3 +370,250 @@ def _linked(c: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when((key % 5 == 2) & (F.col("verdict") == "incorrect"), F.lit("correct")).alias("resolved_quality"),
     )
     return c.withColumn("link", F.when(key % 5 != 3, linked)), takes
+
+
+def _turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as transcripts: users ask, assistants answer, half a minute per turn."""
+    return table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("transcript_id"), F.col("turn").cast("int").alias("seg_no"), (F.col("turn") * 30.0).alias("start"), F.col("role").alias("speaker"), "text"
+    )
+
+
+@query
+def segment_layout(spark: SparkSession, sf: str) -> DataFrame:
+    return Y2.layout(_turns(spark, sf)).select(
+        "transcript_id", "seg_no", F.col("offset").cast("long").alias("offset"), F.col("text_start").cast("long").alias("text_start"), "start_sec"
+    )
+
+
+@query
+def segment_times(spark: SparkSession, sf: str) -> DataFrame:
+    """The line and time at every thousandth character of every transcript."""
+    placed = Y2.layout(_turns(spark, sf))
+    ends = Y2.transcript_lengths(placed)
+    asked = ends.select("transcript_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chars").cast("long") - 1, F.lit(1000).cast("long"))).alias("char_offset"))
+    return Y2.locate(asked, placed).select("transcript_id", "char_offset", "seg_no", "start_sec")
+
+
+@query
+def trimmed_minutes(spark: SparkSession, sf: str) -> DataFrame:
+    """Leading minutes of the conversations (timed) and of the documents (untimed, one line each paragraph)."""
+    timed = Y2.trim_minutes(_turns(spark, sf), 1.5).select(F.lit("conversation").alias("kind"), "transcript_id", "seg_no", "text")
+    untimed = Y2.trim_minutes(_paragraphs(spark, sf), 1.0).select(F.lit("document").alias("kind"), "transcript_id", "seg_no", "text")
+    return timed.unionByName(untimed)
+
+
+def _paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("transcript_id"), F.posexplode(F.split("text", "\n")).alias("seg_no", "text"))
+    return d.select("transcript_id", "seg_no", F.lit(None).cast("double").alias("start"), F.lit(None).cast("string").alias("speaker"), "text")
+
+
+@query
+def chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return C.chunk_transcripts(_turns(spark, sf), 3000, 300)
+
+
+def _passages(spark: SparkSession, sf: str, text) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("candidate_id"), text.alias("quote"), none.alias("speaker"), none.alias("host"))
+
+
+@query
+def quote_verify_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark passages looked up in every document."""
+    v = K.verify_quotes(_passages(spark, sf, F.col("text")), _paragraphs(spark, sf), scoped=False)
+    return v.where(F.col("verified") & (F.col("score") == 1.0)).select("candidate_id", "transcript_id", "score")
+
+
+@query
+def quote_verify_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
+    """The same passages with one word misheard."""
+    words = F.split("text", " ")
+    slipped = F.array_join(F.transform(words, lambda w, i: F.when(i == 5, F.lit("zzqx")).otherwise(w)), " ")
+    v = K.verify_quotes(_passages(spark, sf, slipped), _paragraphs(spark, sf), scoped=False)
+    return v.select("candidate_id", "transcript_id", "verified", "score", "reason", "matched_text", "char_offset", "end_offset")
+
+
+@query
+def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as claims of their source: the ones kept when near-identical repeats drop out."""
+    d = table(spark, sf, "documents").select(
+        F.col("lang").alias("transcript_id"), F.col("doc_id").alias("ordinal"), F.sha1(F.col("text").cast("binary")).alias("id"), F.col("source").alias("person_slug"),
+        F.lit("prediction").alias("type"), F.lit(None).cast("date").alias("target_date"), F.col("text").alias("claim"), (F.col("doc_id") % 5 + 1).cast("int").alias("specificity"),
+    )
+    return X.dedupe_claims(d).select("ordinal", "place", "person_slug", "id", "specificity")
+
+
+@query
+def people_links(spark: SparkSession, sf: str) -> DataFrame:
+    """One sentence per order naming two people."""
+    orders = table(spark, sf, "orders")
+    texts = orders.select(
+        F.col("o_orderkey").alias("text_id"),
+        F.concat(F.lit("How does Person "), F.col("o_custkey").cast("string"), F.lit(" compare with person-"), (F.col("o_custkey") % 100).cast("string"), F.lit("'s record?")).alias("text"),
+    )
+    people = PL.known_people(ledger(spark, sf))
+    linked = PL.link_people(texts, people)
+    return linked.select("text_id", F.array_join("slugs", ",").alias("slugs"))
+
+
+def _questions(spark: SparkSession, sf: str) -> DataFrame:
+    """One question per customer, of four kinds."""
+    name = F.concat(F.lit("Person "), F.col("c_custkey").cast("string"))
+    text = (
+        F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("What did "), name, F.lit(" say about topics?")))
+        .when(F.col("c_custkey") % 4 == 1, F.concat(F.lit("How much should I trust "), name, F.lit("?")))
+        .when(F.col("c_custkey") % 4 == 2, F.concat(F.lit("What is "), name, F.lit(" predicting that comes due in 1999?")))
+        .otherwise(F.concat(F.lit("Has "), name, F.lit(" changed?")))
+    )
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("question_id"), text.alias("text"), F.lit(TODAY).alias("today"))
+
+
+@query
+def question_plans(spark: SparkSession, sf: str) -> DataFrame:
+    p = R.plan_questions(_questions(spark, sf), ledger(spark, sf))
+    return p.select(
+        "question_id", "kind", F.array_join("people", ",").alias("people"), F.array_join("terms", ",").alias("terms"), F.array_join("topics", ",").alias("topics"),
+        F.col("window.start").alias("window_start"), F.col("window.stop").alias("window_stop"), F.col("window.field").alias("window_field"),
+    )
+
+
+@query
+def question_retrieval(spark: SparkSession, sf: str) -> DataFrame:
+    c = materialize(ledger(spark, sf))
+    plans = materialize(R.plan_questions(_questions(spark, sf), c))
+    return R.retrieve(plans, c).select("question_id", "place", "id", "score", "scoped")
+
+
+@query
+def answer_tables(spark: SparkSession, sf: str) -> DataFrame:
+    c = materialize(ledger(spark, sf))
+    plans = materialize(R.plan_questions(_questions(spark, sf), c))
+    return R.answer_rows(plans, materialize(R.retrieve(plans, c)), c)
+
+
+@query
+def recent_additions(spark: SparkSession, sf: str) -> DataFrame:
+    return R.recent_additions(ledger(spark, sf)).select("person_slug", "source_key", "n", "added")
+
+
+@query
+def whats_new_feed(spark: SparkSession, sf: str) -> DataFrame:
+    return FD.whats_new(FD.feed_items(drifted(spark, sf), TODAY)).select("kind", "date", "text", "person_slug", "ref")
+
+
+@query
+def feed_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return FD.feed_items(drifted(spark, sf), TODAY).groupBy("kind").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"))
+
+
+def _watchlist(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers with a positive balance are followed; most were checked at some point."""
+    c = table(spark, sf, "customer").where("c_acctbal > 0")
+    checked = F.when(F.col("c_custkey") % 9 != 0, F.timestamp_add("HOUR", (-(F.col("c_custkey") * 37) % 2000).cast("int"), F.lit(dt.datetime(2001, 1, 1))))
+    return c.select(
+        F.concat(F.lit("Person "), F.col("c_custkey").cast("string")).alias("name"), F.concat(F.lit("person-"), F.col("c_custkey").cast("string")).alias("slug"),
+        checked.alias("last_checked_at"), F.array().cast("array<string>").alias("aliases"),
+    )
+
+
+@query
+def people_cards(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages").select(
+        F.concat(F.lit("person-"), (F.col("page_id") % 200).cast("string")).alias("person_slug"), F.when(F.col("page_id") % 3 == 0, "new").otherwise("have").alias("status")
+    )
+    cards, _ = FD.people_cards(drifted(spark, sf), _watchlist(spark, sf), pages)
+    return cards.select("person_slug", "record", "waiting", "claims", "last_statement", "new_appearances", "story_moved", "active")
+
+
+@query
+def due_rechecks(spark: SparkSession, sf: str) -> DataFrame:
+    return A.due_people(_watchlist(spark, sf), dt.timedelta(hours=24), dt.datetime(2001, 1, 1)).select("slug", "last_checked_at")
+
+
+def _proposed(spark: SparkSession, sf: str) -> DataFrame:
+    """Web pages as proposed appearances; every third one is proposed twice under another spelling of its URL."""
+    p = table(spark, sf, "pages")
+    spelled = F.when(F.col("copy") == 0, F.col("url")).otherwise(F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("#again")))
+    return p.withColumn("copy", F.explode(F.when(F.col("page_id") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).select(
+        F.concat(F.lit("person-"), (F.col("page_id") % 20).cast("string")).alias("person_slug"), (F.col("page_id") * 2 + F.col("copy")).alias("ordinal"),
+        F.concat(F.lit("talk "), F.col("page_id").cast("string")).alias("title"), F.lit("Show").alias("show"), F.lit(None).cast("string").alias("host"),
+        F.date_add(F.lit(dt.date(2000, 3, 1)), (F.col("page_id") % 400).cast("int")).cast("string").alias("date"), spelled.alias("url"), F.lit("podcast").alias("kind"),
+        (F.col("page_id") % 40).cast("double").alias("duration_min"), F.lit("page").alias("transcript_source"), F.when(F.col("page_id") % 17 == 5, "").otherwise("what they talk about").alias("why"),
+    )
+
+
+@query
+def appearance_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    p = _proposed(spark, sf).withColumn("key", A.appearance_key(F.col("url")))
+    return A.first_wins(p, ["person_slug", "key"]).select("ordinal", "person_slug", "key", "duplicate")
+
+
+@query
+def appearance_validation(spark: SparkSession, sf: str) -> DataFrame:
+    nothing = table(spark, sf, "pages").where("false").select(F.lit("x").alias("person_slug"), "url")
+    return A.validate(_proposed(spark, sf), nothing, TODAY, dt.date(2000, 7, 1)).select("person_slug", "ordinal", "date", "duration_min", "key", "kept", "reason")
+
+
+@query
+def appearance_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    nothing = table(spark, sf, "pages").where("false").select(F.lit("x").alias("person_slug"), "url")
+    v = A.validate(_proposed(spark, sf), nothing, TODAY, dt.date(2000, 7, 1)).where("kept")
+    fresh, _ = A.split_held(v, ledger(spark, sf))
+    return A.rank_appearances(fresh).select("person_slug", "place", "ordinal")
+
+
+@query
+def track_record(spark: SparkSession, sf: str) -> DataFrame:
+    c = materialize(drifted(spark, sf))
+    return Y.track_record(S.person_scorecard(c), S.topic_scorecard(c), D.chain_summaries(D.chain_counts(c)))
+
+
+@query
+def speaker_topics(spark: SparkSession, sf: str) -> DataFrame:
+    t = L.speaker_topics(ledger(spark, sf), "https://example.com/episode/1")
+    return t.select("person_slug", F.array_join("topics", ",").alias("topics"))
+
+
+@query
+def main_topic(spark: SparkSession, sf: str) -> DataFrame:
+    return L.most_common(ledger(spark, sf), "topic", "person_slug")
+
+
+# ---- Live jobs, run over what is there now ------------------------------------------
+
+
+def _live(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    s = ST.stateful_session(spark)
+    return ST.files_stream(s, sf, table(spark, sf, name).schema, f"{name}.parquet")
+
+
+@query
+def daily_new_statements(spark: SparkSession, sf: str) -> DataFrame:
+    events = _live(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = ST.run_available(ST.new_per_day(events, "ts", "event_type"), scratch(spark))
+    return out.groupBy("day", "event_type").agg(F.max_by("n", "batch_id").alias("n"))
+
+
+@query
+def live_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    events = _live(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("id", F.concat_ws("/", F.col("user_id").cast("string"), "event_type"))
+    return ST.run_available(ST.live_dedupe(events, "ts", "60 days"), scratch(spark), "append").select("id")
+
+
+@query
+def live_drift(spark: SparkSession, sf: str) -> DataFrame:
+    claims = project(_live(spark, sf, "orders"), LEDGER_COLUMNS)
+    out = ST.run_available(ST.live_drift(claims), scratch(spark))
+    keys = ("person_slug", "topic", "said_date", "target_date")
+    return out.groupBy(*keys).agg(F.max_by(F.struct("label", "previous_claim_id"), "batch_id").alias("x")).select(*keys, "x.*")
+
+
+@query
+def live_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """The ledger arriving as a stream, merged into a versioned ledger that starts empty."""
+    root = scratch(spark)
+    stream = project(_live(spark, sf, "orders"), LEDGER_COLUMNS)
+    claims = as_claims(stream)
+    ST.live_upsert(claims, root, f"{root}/state").awaitTermination()
+    return LF.read_ledger(spark, root).select("id", "person_slug", "said_date", "verdict", "origin")

@@ -37,12 +37,17 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder name under the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/saidso-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` once and read it back.
 
     Lineage ends at files that outlive any executor, readers prune columns, and the
     planner knows the size of what it reads, so small tables broadcast by themselves.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/saidso-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -24,8 +24,8 @@ def live_upsert(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuery
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         held = read_ledger(spark, root)
-        merged = upsert(held, batch.withColumn("ordinal", F.monotonically_increasing_id())) if "ordinal" not in batch.columns else upsert(held, batch)
-        write_claims(merged.drop("change"), root)
+        numbered = batch if "ordinal" in batch.columns else batch.withColumn("ordinal", F.monotonically_increasing_id())
+        write_claims(upsert(held, numbered).drop("change"), root)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -61,7 +61,7 @@ VOTE_OUT = "claim_id string, verdict string, confidence double, disputed boolean
 class VotePanel(StatefulProcessor):
     """Per claim: a verdict at two equal votes; a third judge is asked for when two differ; a timeout is a dispute."""
 
-    def __init__(self, wait_ms: int) -> None:
+    def __init__(self, wait_ms: int | None) -> None:
         self.wait_ms = wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -80,13 +80,14 @@ class VotePanel(StatefulProcessor):
         self.votes.put(panel)
         out = self._decide(key[0], panel)
         if out is None:
-            if not list(self.handle.listTimers()):
+            if self.wait_ms is not None and not list(self.handle.listTimers()):
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
             return
         if out[4] is None:
             self.done.update((True,))
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
+            if self.wait_ms is not None:
+                for t in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(t)
         yield pd.DataFrame([out], columns=["claim_id", "verdict", "confidence", "disputed", "need_judge"])
 
     def _decide(self, claim, panel):
@@ -94,8 +95,8 @@ class VotePanel(StatefulProcessor):
         for verdict in verdicts:
             same = [v[2] for v in panel if v[1] == verdict]
             if len(same) >= 2:
-                mean = sum(min(1.0, max(0.0, c / 100 if 1 < c <= 100 else c)) for c in same) / len(same)
-                return (claim, verdict, int(mean * 100 + 0.5) / 100, False, None)
+                units = sum(int(min(1.0, max(0.0, c / 100 if 1 < c <= 100 else c)) * 1_000_000 + 0.5) for c in same)
+                return (claim, verdict, int(units / (len(same) * 1_000_000.0) * 100 + 0.5) / 100, False, None)
         if len(panel) >= 3:
             return (claim, "unresolvable", 0.5, True, None)
         return (claim, None, None, None, "C") if len(panel) == 2 else None
@@ -109,47 +110,58 @@ class VotePanel(StatefulProcessor):
         pass
 
 
-def live_votes(stream: DataFrame, wait: dt.timedelta = dt.timedelta(hours=1)) -> DataFrame:
-    """`stream`: claim_id, judge, verdict, confidence."""
-    return stream.groupBy("claim_id").transformWithStateInPandas(
-        statefulProcessor=VotePanel(int(wait.total_seconds() * 1000)), outputStructType=VOTE_OUT, outputMode="Update", timeMode="ProcessingTime"
+def live_votes(stream: DataFrame, wait: dt.timedelta | None = dt.timedelta(hours=1)) -> DataFrame:
+    """`stream`: claim_id, judge, verdict, confidence. Without `wait` no vote ever times out."""
+    wait_ms = None if wait is None else int(wait.total_seconds() * 1000)
+    votes = stream.select(F.col("claim_id").cast("string").alias("claim_id"), "judge", "verdict", "confidence")
+    return votes.groupBy("claim_id").transformWithStateInPandas(
+        statefulProcessor=VotePanel(wait_ms), outputStructType=VOTE_OUT, outputMode="Update", timeMode="None" if wait is None else "ProcessingTime"
     )
 
 
-DRIFT_OUT = "id string, label string, previous_claim_id string, shift_days int"
+DRIFT_OUT = "person_slug string, topic string, said_date date, target_date date, label string, previous_claim_id string, shift_days int"
+EPOCH = dt.date(1970, 1, 1)
 
 
 class ChainDrift(StatefulProcessor):
     """Per (person, topic): drift labels as claims arrive. A late older claim re-labels its successors, so updates are emitted.
 
-    State is one entry per (day said, deadline) of the chain and the label last sent
-    for each; the calendar bounds it, not the number of claims.
+    A label belongs to (day said, deadline), like in the batch job, so state and
+    output hold one entry per such pair: the calendar bounds them, not the number
+    of claims in the chain.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.groups = handle.getMapState("groups", "said int, target int", "first_id string, last_id string, open_id string")
-        self.sent = handle.getMapState("sent", "id string", "said int, target int, label string, previous string")
+        self.groups = handle.getMapState(
+            "groups", "said int, target int", "first_id string, last_id string, open_id string, label string, previous string"
+        )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         groups = {k: v for k, v in self.groups.iterator()}
-        known = {k[0]: v for k, v in self.sent.iterator()}
+        dirty = set()
         for pdf in rows:
             for r in pdf.itertuples(index=False):
                 k = (int(r.said), None if pd.isna(r.target) else int(r.target))
-                old = groups.get(k, (r.id, r.id, None))
-                still_open = r.id if r.verdict != "correct" else None
-                opens = [x for x in (old[2], still_open) if x]
-                groups[k] = (min(old[0], r.id), max(old[1], r.id), min(opens) if opens else None)
-                self.groups.updateValue(k, groups[k])
-                known.setdefault(r.id, (k[0], k[1], None, None))
+                old = groups.get(k, (r.id, r.id, None, None, None))
+                opens = [x for x in (old[2], r.id if r.verdict != "correct" else None) if x]
+                new = (min(old[0], r.id), max(old[1], r.id), min(opens) if opens else None, old[3], old[4])
+                if new != groups.get(k):
+                    groups[k] = new
+                    dirty.add(k)
+        if not dirty:
+            return
         out = []
-        for claim, (said, target, label, previous) in known.items():
-            new, prev, shift = self._label(groups, said, target)
-            if (new, prev) != (label, previous):
-                self.sent.updateValue((claim,), (said, target, new, prev))
-                out.append((claim, new, prev, shift))
+        for k, g in list(groups.items()):
+            label, previous, shift = self._label(groups, *k)
+            if (label, previous) != (g[3], g[4]):
+                groups[k] = (*g[:3], label, previous)
+                dirty.add(k)
+                target = None if k[1] is None else EPOCH + dt.timedelta(days=k[1])
+                out.append((key[0], key[1], EPOCH + dt.timedelta(days=k[0]), target, label, previous, shift))
+        for k in dirty:
+            self.groups.updateValue(k, groups[k])
         if out:
-            yield pd.DataFrame(out, columns=["id", "label", "previous_claim_id", "shift_days"])
+            yield pd.DataFrame(out, columns=["person_slug", "topic", "said_date", "target_date", "label", "previous_claim_id", "shift_days"])
 
     @staticmethod
     def _label(groups, said, target):
@@ -174,13 +186,38 @@ class ChainDrift(StatefulProcessor):
 
 
 def live_drift(stream: DataFrame) -> DataFrame:
-    """`stream`: id, person_slug, topic, said_date, target_date, verdict."""
+    """`stream`: id, person_slug, topic, said_date, target_date, verdict. Emits a row per (day said, deadline) whose label changed."""
     days = stream.select("person_slug", "topic", "id", "verdict", F.unix_date("said_date").alias("said"), F.unix_date("target_date").cast("double").alias("target"))
     return days.groupBy("person_slug", "topic").transformWithStateInPandas(
         statefulProcessor=ChainDrift(), outputStructType=DRIFT_OUT, outputMode="Update", timeMode="None"
     )
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stateful_session(spark: SparkSession) -> SparkSession:
+    """A sibling session whose state lives in RocksDB, which keyed state with timers and maps needs."""
+    s = spark.newSession()
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        s.conf.set(name, spark.conf.get(name))
+    s.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return s
+
+
+def run_available(stream: DataFrame, folder: str, mode: str = "update") -> DataFrame:
+    """Process what is there now; every emitted row lands in a table under `folder`, with the batch that emitted it."""
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{folder}/out")
+
+    q = stream.writeStream.foreachBatch(save).option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
+    spark = stream.sparkSession
+    fields = [T.StructField(f.name, f.dataType) for f in stream.schema.fields] + [T.StructField("batch_id", T.LongType())]
+    return spark.read.schema(T.StructType(fields)).parquet(f"{folder}/out")
+
+
 DEADLINE_OUT = "id string, kind string, target_date date"
 
 
@@ -212,7 +249,7 @@ class DeadlineTimer(StatefulProcessor):
         if not self.due.exists():
             return
         target, stage = self.due.get()
-        day = dt.date(1970, 1, 1) + dt.timedelta(days=int(target))
+        day = EPOCH + dt.timedelta(days=int(target))
         if stage == 0:
             self.due.update((target, 1))
             self.handle.registerTimer((target + 1) * self.DAY_MS)
@@ -279,11 +316,6 @@ def live_rechecks(stream: DataFrame, every: dt.timedelta) -> DataFrame:
     )
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Everything available now, appended to Parquet files."""
-    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
-
-
 def files_stream(spark: SparkSession, path: str, schema: T.StructType, pattern: str | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
     if pattern:
