@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from saidso.functions.hedge import HEDGE_TABLE
+from saidso.functions.tokens import FILLERS
 from saidso.plans.driver_tables import EVIDENCE_COLUMNS, HEDGED_COLUMNS, LEDGER_COLUMNS, PAGE_COLUMNS, VOTES, select_sql
 
 LEDGER = f"ledger AS ({select_sql(LEDGER_COLUMNS, 'orders')})"
@@ -370,3 +371,161 @@ SELECT id, page, action, CAST(row AS INT) AS row, q AS quality, coalesce(held, p
   CASE WHEN action = 'add_timeline' THEN concat(source_title, ' — "', quote, '" ', source_url) ELSE text END AS text
 FROM a WHERE action IS NOT NULL""",
 })
+
+TURNS = "turns AS (SELECT conv_id, CAST(turn AS INT) AS turn, role, text, concat(role, ': ', text) AS line FROM conversations)"
+PLACED = f"""{TURNS}, placed AS (
+  SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off
+  FROM turns)"""
+
+FILLER_LIST = "[" + ", ".join(f"'{w}'" for w in FILLERS) + "]"
+
+
+def _match_text(column: str) -> str:
+    """Match words as one string: lower case, letters and digits only, fillers dropped."""
+    return (
+        f"concat(' ', array_to_string(list_filter(regexp_extract_all(lower(strip_accents({column})), '[\\p{{L}}\\p{{N}}]+'), "
+        f"lambda w: NOT list_contains({FILLER_LIST}, w)), ' '), ' ')"
+    )
+
+
+MOVED_NOTE = (
+    "CASE label WHEN 'pushed_later' THEN concat('Deadline moved from ', strftime(was, '%b %-d, %Y'), ' to ', strftime(target_date, '%b %-d, %Y'), '.') "
+    "ELSE concat('Deadline moved earlier, from ', strftime(was, '%b %-d, %Y'), ' to ', strftime(target_date, '%b %-d, %Y'), '.') END"
+)
+FEED = f"""
+items AS (
+  SELECT 'new_statements' AS kind, max(extracted_on) AS date, person_slug, source_url AS ref,
+    concat(count(*), ' new statement', CASE WHEN count(*) = 1 THEN '' ELSE 's' END, ' from "', min(source_title), '" (', min(person), ')') AS text
+  FROM drift WHERE origin = 'extracted' AND extracted_on > DATE '2000-12-02' AND extracted_on <= DATE '2001-01-01' GROUP BY person_slug, source_url
+  UNION ALL
+  SELECT 'came_due', target_date, person_slug, id, concat('Deadline passed: "', claim, '" (', person, '). ',
+    CASE WHEN verdict IN ('pending', 'too_early') THEN 'Waiting to be graded.' WHEN verdict = 'correct' THEN 'Came true.'
+         WHEN verdict = 'incorrect' THEN 'Did not happen.' WHEN verdict = 'partial' THEN 'Partly.' ELSE 'Could not be judged.' END)
+  FROM drift WHERE type = 'prediction' AND target_date > DATE '2000-12-02' AND target_date <= DATE '2001-01-01'
+  UNION ALL
+  SELECT 'coming_due', target_date, person_slug, id, concat('Due ', strftime(target_date, '%b %-d, %Y'), ': "', claim, '" (', person, ')')
+  FROM drift WHERE type = 'prediction' AND target_date > DATE '2001-01-01' AND target_date <= DATE '2001-02-01' AND verdict IN ('pending', 'too_early')
+  UNION ALL
+  SELECT 'story_moved', said_date, person_slug, id, concat(person, ': ', CASE label WHEN 'pushed_later' THEN 'deadline pushed' ELSE 'deadline pulled in' END,
+    ' on Topic ', substr(topic, 7), '. ', {MOVED_NOTE})
+  FROM drift WHERE label IN ('pushed_later', 'pulled_earlier')
+    AND (coalesce(extracted_on > DATE '2000-12-02', false) OR (said_date > DATE '2000-01-02' AND said_date <= DATE '2001-01-01')))
+"""
+
+PROPOSED = """
+pp AS (
+  SELECT page_id, unnest(CASE WHEN page_id % 3 = 0 THEN [0, 1] ELSE [0] END) AS copy, url FROM pages),
+proposed AS (
+  SELECT concat('person-', page_id % 20) AS person_slug, page_id * 2 + copy AS ordinal, page_id, concat('talk ', page_id) AS title,
+    DATE '2000-03-01' + CAST(page_id % 400 AS INT) AS day, CAST(page_id % 40 AS INT) AS minutes, regexp_replace(url, '#.*$', '') AS u FROM pp),
+keyed AS (
+  SELECT *, rtrim(regexp_replace(regexp_extract(u, '^https?://([^?]*)', 1), '^www\\.', ''), '/') AS page,
+    list_aggregate(list_filter(string_split(regexp_extract(u, '\\?(.*)$', 1), '&'), lambda x: NOT lower(x) LIKE 'utm\\_%' ESCAPE '\\'), 'string_agg', '&') AS kept
+  FROM proposed),
+keys AS (SELECT *, CASE WHEN coalesce(kept, '') = '' THEN page ELSE concat(page, '?', kept) END AS key FROM keyed)
+"""
+VALIDATED = f"""{PROPOSED},
+v1 AS (
+  SELECT person_slug, ordinal, title, key, CASE WHEN day <= DATE '2001-01-01' THEN day END AS date, CASE WHEN minutes > 0 THEN minutes END AS duration_min,
+    CASE WHEN day < DATE '2000-07-01' THEN 'older than the window' WHEN page_id % 17 = 5 THEN 'missing a title or description' END AS r FROM keys),
+v2 AS (
+  SELECT *, min(ordinal) FILTER (WHERE r IS NULL AND coalesce(duration_min, 10) >= 10) OVER (PARTITION BY person_slug, key) AS first_long,
+    min(ordinal) FILTER (WHERE r IS NULL AND duration_min BETWEEN 5 AND 9) OVER (PARTITION BY person_slug, key) AS first_clip,
+    count(*) FILTER (WHERE r IS NULL AND coalesce(duration_min, 10) >= 10) OVER (PARTITION BY person_slug) > 0 AS any_long FROM v1),
+v AS (
+  SELECT *, coalesce(r, CASE WHEN first_long < ordinal THEN 'a duplicate' WHEN duration_min < 5 THEN 'a short clip'
+    WHEN duration_min < 10 AND any_long THEN 'a short clip' WHEN duration_min < 10 AND first_clip < ordinal THEN 'a duplicate' END) AS reason FROM v2)
+"""
+
+RETRIEVAL = f"""{DRIFTED},
+pool AS (
+  SELECT c_custkey AS question_id, c_custkey % 4 AS m, d.*, d.verdict IN ('correct', 'incorrect', 'partial') AS graded,
+    d.label IN ('pushed_later', 'pulled_earlier') AS notable,
+    type = 'prediction' AND target_date IS NOT NULL AND verdict IN ('pending', 'too_early') AS fits
+  FROM customer JOIN drift d ON d.person_slug = concat('person-', c_custkey)),
+flags AS (
+  SELECT *, bool_or(notable) OVER (PARTITION BY question_id, topic) AS chain_moved, bool_or(notable) OVER (PARTITION BY question_id) AS any_moved,
+    count(*) OVER (PARTITION BY question_id) AS n, row_number() OVER (PARTITION BY question_id ORDER BY said_date DESC, id) AS newest,
+    count(*) FILTER (WHERE fits AND year(target_date) = 1999) OVER (PARTITION BY question_id) AS n1, count(*) FILTER (WHERE fits) OVER (PARTITION BY question_id) AS n2
+  FROM pool),
+picked AS (
+  SELECT *, m <> 2 OR n1 > 0 AS scoped,
+    CASE m WHEN 0 THEN 5 + CAST(newest <= greatest(1, ceil(n * 0.2)) AS INT) WHEN 1 THEN CAST(graded AS INT) WHEN 2 THEN 0 ELSE CAST(notable AS INT) END AS score
+  FROM flags
+  WHERE m IN (0, 1) OR (m = 3 AND (chain_moved OR NOT any_moved))
+    OR (m = 2 AND CASE WHEN n1 > 0 THEN fits AND year(target_date) = 1999 WHEN n2 > 0 THEN fits ELSE true END))
+"""
+
+ORACLE.update({
+    "segment_layout": f"""WITH {PLACED}
+SELECT conv_id AS transcript_id, turn AS seg_no, off AS offset, off + length(role) + 2 AS text_start, turn * 30.0::DOUBLE AS start_sec FROM placed""",
+    "segment_times": f"""WITH {PLACED}, n AS (SELECT conv_id, max(off + length(line)) AS n_chars FROM placed GROUP BY ALL),
+asked AS (SELECT conv_id, unnest(range(0, n_chars, 1000)) AS c FROM n)
+SELECT a.conv_id AS transcript_id, c AS char_offset, turn AS seg_no, turn * 30.0::DOUBLE AS start_sec
+FROM asked a JOIN placed p ON p.conv_id = a.conv_id AND c >= off AND c < off + length(line) + 1""",
+    "trimmed_minutes": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+p AS (SELECT doc_id, unnest(parts) AS text, generate_subscripts(parts, 1) - 1 AS seg_no FROM l),
+u AS (SELECT *, 900 - coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY seg_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS room FROM p),
+c AS (SELECT *, left(text, room) AS piece, CASE WHEN contains(left(text, room), ' ') THEN length(left(text, room)) - strpos(reverse(left(text, room)), ' ') ELSE -1 END AS at_word
+      FROM u WHERE room > 0)
+SELECT 'conversation' AS kind, conv_id AS transcript_id, CAST(turn AS INT) AS seg_no, text FROM conversations WHERE turn < 3
+UNION ALL
+SELECT 'document', doc_id, CAST(seg_no AS INT), CASE WHEN length(text) <= room THEN text WHEN at_word > room * 0.5 THEN trim(left(piece, at_word)) ELSE trim(piece) END
+FROM c WHERE length(text) <= room OR trim(CASE WHEN at_word > room * 0.5 THEN left(piece, at_word) ELSE piece END) <> ''""",
+    "quote_verify_exact": f"""WITH b AS (SELECT item_id, {_match_text('text')} AS q FROM benchmark), d AS (SELECT doc_id, {_match_text('text')} AS t FROM documents)
+SELECT item_id AS candidate_id, doc_id AS transcript_id, 1.0::DOUBLE AS score FROM b JOIN d ON contains(t, q)""",
+    "people_links": """WITH known AS (SELECT DISTINCT o_custkey AS k FROM orders)
+SELECT o_orderkey AS text_id, CASE WHEN b.k IS NULL OR b.k = o_custkey THEN concat('person-', o_custkey) ELSE concat('person-', o_custkey, ',person-', b.k) END AS slugs
+FROM orders LEFT JOIN known b ON b.k = o_custkey % 100""",
+    "question_plans": """WITH known AS (SELECT DISTINCT o_custkey AS k FROM orders)
+SELECT c_custkey AS question_id, CASE c_custkey % 4 WHEN 0 THEN 'said_about' WHEN 1 THEN 'track_record' WHEN 2 THEN 'due' ELSE 'drift' END AS kind,
+  CASE WHEN k IS NULL THEN '' ELSE concat('person-', k) END AS people, CASE WHEN c_custkey % 4 = 0 THEN 'topic' ELSE '' END AS terms,
+  CASE WHEN c_custkey % 4 = 0 THEN 'topic-0,topic-1,topic-2' ELSE '' END AS topics,
+  CASE WHEN c_custkey % 4 = 2 THEN DATE '1999-01-01' END AS window_start, CASE WHEN c_custkey % 4 = 2 THEN DATE '1999-12-31' END AS window_stop,
+  CASE WHEN c_custkey % 4 = 2 THEN 'target_date' END AS window_field
+FROM customer LEFT JOIN known ON k = c_custkey""",
+    "question_retrieval": f"""{RETRIEVAL}
+SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN m = 2 THEN target_date END NULLS FIRST, score DESC,
+    CASE WHEN m = 2 THEN NULL ELSE said_date END DESC, id) - 1 AS INT) AS place, id, CAST(score AS INT) AS score, scoped
+FROM picked QUALIFY place < 12""",
+    "recent_additions": f"""{BASE}
+SELECT person_slug, source_url AS source_key, count(*) AS n, max(coalesce(extracted_on, said_date)) AS added FROM ledger GROUP BY ALL
+ORDER BY added DESC, n DESC, person_slug, source_key LIMIT 5""",
+    "whats_new_feed": f"""{DRIFTED}, {FEED}
+SELECT * FROM items ORDER BY date DESC, list_position(['came_due', 'story_moved', 'new_statements', 'discovered', 'coming_due'], kind), text, ref LIMIT 8""",
+    "feed_counts": f"{DRIFTED}, {FEED} SELECT kind, count(*) AS n, min(date) AS first, max(date) AS last FROM items GROUP BY ALL",
+    "people_cards": f"""{SCORED},
+w AS (SELECT c_custkey AS k, concat('person-', c_custkey) AS person_slug,
+  CASE WHEN c_custkey % 9 <> 0 THEN CAST(TIMESTAMP '2001-01-01' - to_hours(CAST((c_custkey * 37) % 2000 AS INT)) AS DATE) END AS checked FROM customer WHERE c_acctbal > 0),
+last AS (SELECT person_slug, max(said_date) AS last_statement FROM ledger GROUP BY ALL),
+mv AS (SELECT person_slug, concat('Story moved on Topic ', substr(topic, 7), CASE label WHEN 'pushed_later' THEN ' (deadline pushed)' ELSE ' (deadline pulled in)' END) AS story_moved
+  FROM drift WHERE label IN ('pushed_later', 'pulled_earlier') QUALIFY row_number() OVER (PARTITION BY person_slug ORDER BY said_date DESC, id) = 1),
+np AS (SELECT concat('person-', page_id % 200) AS person_slug, count(*) FILTER (WHERE page_id % 3 = 0) AS new_appearances FROM pages GROUP BY ALL),
+j AS (SELECT w.person_slug, s.* EXCLUDE (person_slug), correct + incorrect + partial AS g, pending + too_early AS o, last_statement, coalesce(new_appearances, 0) AS new_appearances,
+    story_moved, greatest(checked, last_statement) AS active
+  FROM w LEFT JOIN scores s USING (person_slug) LEFT JOIN last USING (person_slug) LEFT JOIN mv USING (person_slug) LEFT JOIN np USING (person_slug))
+SELECT person_slug, CASE WHEN claims IS NULL THEN 'Nothing on record yet'
+    WHEN g > 0 THEN concat(correct, ' of ', g, ' came true', CASE WHEN partial > 0 THEN concat(', ', partial, ' partly') ELSE '' END, CASE WHEN o > 0 THEN concat(' · ', o, ' waiting') ELSE '' END)
+    WHEN o = 1 THEN '1 prediction waiting on its deadline' WHEN o > 0 THEN concat(o, ' predictions waiting on their deadline')
+    WHEN claims = 1 THEN '1 statement on record, no predictions yet' ELSE concat(claims, ' statements on record, no predictions yet') END AS record,
+  coalesce(o, 0) AS waiting, coalesce(claims, 0) AS claims, last_statement, new_appearances, story_moved, active FROM j""",
+    "due_rechecks": """WITH w AS (SELECT concat('person-', c_custkey) AS slug,
+  CASE WHEN c_custkey % 9 <> 0 THEN TIMESTAMP '2001-01-01' - to_hours(CAST((c_custkey * 37) % 2000 AS INT)) END AS last_checked_at FROM customer WHERE c_acctbal > 0)
+SELECT * FROM w WHERE coalesce(last_checked_at, TIMESTAMP '1970-01-01') <= TIMESTAMP '2000-12-31' ORDER BY coalesce(last_checked_at, TIMESTAMP '1970-01-01'), slug LIMIT 10""",
+    "appearance_dedupe": f"""WITH {PROPOSED}
+SELECT ordinal, person_slug, key, ordinal > min(ordinal) OVER (PARTITION BY person_slug, key) AS duplicate FROM keys""",
+    "appearance_validation": f"WITH {VALIDATED} SELECT person_slug, ordinal, date, duration_min, key, reason IS NULL AS kept, reason FROM v",
+    "appearance_ranking": f"""WITH {VALIDATED}
+SELECT person_slug, CAST(row_number() OVER (PARTITION BY person_slug ORDER BY date DESC NULLS LAST, coalesce(duration_min, 0) DESC, title, ordinal) AS INT) AS place, ordinal
+FROM v WHERE reason IS NULL QUALIFY place <= 5""",
+    "speaker_topics": f"""{BASE}
+SELECT person_slug, string_agg(topic, ',' ORDER BY topic) AS topics FROM (SELECT DISTINCT person_slug, topic FROM ledger WHERE source_url <> 'https://example.com/episode/1') GROUP BY ALL""",
+    "main_topic": f"""{BASE}, c AS (SELECT person_slug, topic, count(*) AS n FROM ledger GROUP BY ALL)
+SELECT person_slug, topic, n FROM c QUALIFY row_number() OVER (PARTITION BY person_slug ORDER BY n DESC, topic) = 1""",
+    "daily_new_statements": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "live_dedupe": "SELECT DISTINCT concat(user_id, '/', event_type) AS id FROM events",
+    "live_drift": f"""{DRIFTED}
+SELECT DISTINCT person_slug, topic, said_date, target_date, label, CASE WHEN previous_id IS NULL THEN NULL WHEN pid IS NULL THEN previous_id ELSE pid END AS previous_claim_id
+FROM drift""",
+    "live_upsert": f"{BASE} SELECT id, person_slug, said_date, verdict, origin FROM ledger",
+})
