@@ -246,8 +246,10 @@ def entity_flags(text: Column, words: Column, opening: Column) -> Column:
         def flag(w: Column, i: Column) -> Column:
             lead = F.regexp_replace(F.get(gaps, i), LOOK_BACK, "")
             last = F.when(lead != "", F.right(lead, F.lit(1))).when(i == 0, opening).otherwise("x")
-            name = w.rlike(r"^\p{Lu}") & ~w.rlike(r"\d") & ~w.rlike(r"^I(?:['‘’ʼ].*)?$")
-            return name & (last != "") & ~last.isin(".", "!", "?", ":")
+            # Most words are not capitalized and are settled by the first test.
+            return F.when(~w.rlike(r"^\p{Lu}"), False).otherwise(
+                ~w.rlike(r"\d|^I(?:['‘’ʼ].*)?$") & let(last, lambda c: (c != "") & ~c.isin(".", "!", "?", ":"))
+            )
 
         return F.transform(words, flag)
 

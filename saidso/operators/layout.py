@@ -18,6 +18,12 @@ from saidso.functions.tokens import LOOK_BACK
 BLOCK_SEGMENTS = 4096
 
 
+def spread(segments: DataFrame, keys: list[str], order: str, block: int = BLOCK_SEGMENTS) -> DataFrame:
+    """Rows placed by (keys, block): the one shuffle of the rows, which the passes of `in_order` then build on."""
+    n = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return segments.withColumn("_block", F.floor(F.col(order) / block)).repartition(n, *keys, "_block")
+
+
 def in_order(
     df: DataFrame,
     keys: list[str],

@@ -31,7 +31,7 @@ from saidso.functions import tokens as K
 from saidso.functions.binding import let
 from saidso.functions.urls import deep_link
 from saidso.functions.wording import WS
-from saidso.operators.layout import in_order, layout
+from saidso.operators.layout import in_order, layout, spread
 from saidso.session import materialize
 
 MIN_QUOTE_SCORE = 0.85
@@ -146,18 +146,29 @@ _spans, _closest = _spans.asNondeterministic(), _closest.asNondeterministic()
 
 
 def token_table(segments: DataFrame) -> DataFrame:
-    """Segments with layout, `tokens` (fillers dropped) and `pos`, the position of the first in its transcript."""
-    numbered = segments.withColumn("_raw", K.raw_words(F.col("text"))).withColumn("_tok", K.numbered_norms(F.col("_raw")))
+    """Segments with `tokens` (fillers dropped), `names` and `pos`, the position of the first token in its transcript.
+
+    Words are cut once and written; the ordered passes read those files, column by column.
+    """
+    rows = spread(segments.select("transcript_id", "seg_no", "start", "speaker", "text"), ["transcript_id"], "seg_no")
+    raw = rows.withColumn("_raw", K.raw_words(F.col("text"))).withColumn("_tok", K.numbered_norms(F.col("_raw")))
+    # A capitalized first word is a name only if the line before it did not end a sentence: flagged here, decided below.
+    lead = F.regexp_replace(F.get(F.split("text", K.WORD), F.lit(0)), K.LOOK_BACK, "")
+    cut = materialize(
+        raw.withColumn("names", K.entity_flags(F.col("text"), F.col("_raw"), F.lit("x"))).withColumn("opens", lead == "").drop("_raw")
+    )
     placed = layout(
-        numbered,
+        cut,
         previous={"_before": F.try_element_at("_tok", F.lit(-1))["norm"]},
         following={"_after": F.try_element_at("_tok", F.lit(1))["norm"]},
         more=True,
+        drop=("text",),
     )
+    ends = F.col("opening").isin("", ".", "!", "?", ":")
     kept = placed.withColumn("tokens", K.keep_tokens(F.col("_tok"), F.col("_before"), F.col("_after"))).withColumn(
-        "names", K.entity_flags(F.col("text"), F.col("_raw"), F.col("opening"))
+        "names", F.transform("names", lambda f, i: f & ~((i == 0) & F.col("opens") & ends))
     )
-    lean = kept.drop("_before", "_after", "_tok", "_raw")
+    lean = materialize(kept.select("transcript_id", "seg_no", "_block", "speaker", "tokens", "names"))
     return in_order(lean, ["transcript_id"], "seg_no", running={"pos": F.size("tokens")})
 
 
