@@ -75,17 +75,15 @@ def _authority(u: Column) -> Column:
     return F.concat(u["user"], u["host"], F.when(default, "").otherwise(u["port"]))
 
 
-def strip_signed_params(url: Column) -> Column:
-    """`url` without signing parameters; anything else comes back unchanged."""
+def _clean(u: Column, url: Column) -> Column:
+    kept = F.filter(u["params"], lambda p: ~_name(p).rlike(SIGNED_PARAM))
+    rebuilt = let(kept, lambda k: F.concat(u["scheme"], F.lit("://"), _authority(u), u["path"], _search(u, k), u["fragment"]))
+    return F.when(u["ok"] & F.exists(u["params"], lambda p: _name(p).rlike(SIGNED_PARAM)), rebuilt).otherwise(url)
 
-    def clean(u: Column) -> Column:
-        kept = F.filter(u["params"], lambda p: ~_name(p).rlike(SIGNED_PARAM))
-        rebuilt = let(
-            kept, lambda k: F.concat(u["scheme"], F.lit("://"), _authority(u), u["path"], _search(u, k), u["fragment"])
-        )
-        return F.when(u["ok"] & (F.size(kept) < F.size(u["params"])), rebuilt).otherwise(url)
 
-    return F.when(F.contains(url, F.lit("?")), let(parse(url), clean)).otherwise(url)
+def strip_signed_params(url: Column) -> Column:
+    """`url` without signing parameters; anything else comes back unchanged."""
+    return F.when(F.contains(url, F.lit("?")), let(parse(url), lambda u: _clean(u, url))).otherwise(url)
 
 
 def scrub_text(text: Column) -> Column:
@@ -99,15 +97,24 @@ def scrub_text(text: Column) -> Column:
     return F.aggregate(ordered, safe, lambda acc, u: F.replace(acc, u, strip_signed_params(u)))
 
 
+def _key(u: Column) -> Column:
+    kept = F.filter(u["params"], lambda p: ~F.lower(_name(p)).startswith("utm_") & ~_name(p).rlike(SIGNED_PARAM))
+    page = F.concat(F.regexp_replace(u["host"], r"^www\.", ""), F.rtrim(u["path"], F.lit("/")))
+    return F.when(u["ok"], F.concat(page, F.when(u["search"] == "", "").otherwise(let(kept, lambda k: _search(u, k)))))
+
+
 def url_key(url: Column) -> Column:
     """Join key of a page: host without 'www.', path without trailing slashes, no hash, no tracking or signing parameters."""
+    return let(parse(url), _key)
+
 
-    def key(u: Column) -> Column:
-        kept = F.filter(u["params"], lambda p: ~F.lower(_name(p)).startswith("utm_") & ~_name(p).rlike(SIGNED_PARAM))
-        page = F.concat(F.regexp_replace(u["host"], r"^www\.", ""), F.rtrim(u["path"], F.lit("/")))
-        return F.when(u["ok"], F.concat(page, F.when(u["search"] == "", "").otherwise(let(kept, lambda k: _search(u, k)))))
+def page_ref(url: Column, missing: str = "") -> Column:
+    """STRUCT<url, key>: the URL without signing parameters and its key, from one parse; `missing` stands for no key.
 
-    return let(parse(url), key)
+    A key that is never NULL gives the optimizer no null check to push below the
+    parse, which would run it twice.
+    """
+    return let(parse(url), lambda u: F.struct(_clean(u, F.trim(url)).alias("url"), F.coalesce(_key(u), F.lit(missing)).alias("key")))
 
 
 def _site(u: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from saidso.functions.dates import calendar_date, iso, lateness_applies, lateness_months
-from saidso.functions.urls import strip_signed_params, url_key
+from saidso.functions.urls import page_ref, url_key
 from saidso.functions.wording import neutral_or, neutral_rationale
 from saidso.schemas import GRADED_VERDICTS
 
@@ -96,12 +96,9 @@ def verified_evidence(evidence: Column, citations: Column, searched: Column) ->
 
 def verified_evidence_rows(evidence: DataFrame, pages: DataFrame) -> DataFrame:
     """The same on flat tables: evidence (claim_id, judge, url, …) kept when the judge's pages (claim_id, judge, url) hold its key."""
-    keys = pages.select("claim_id", "judge", url_key(F.col("url")).alias("key")).where(F.col("key").isNotNull()).distinct()
-    return (
-        evidence.withColumn("key", url_key(F.col("url")))
-        .where(F.col("key").isNotNull())
-        .join(keys, ["claim_id", "judge", "key"], "left_semi")
-    )
+    # Different stand-ins for "no key", so two unusable URLs never meet.
+    keys = pages.select("claim_id", "judge", page_ref(F.col("url"), "?")["key"].alias("key")).distinct()
+    return evidence.withColumn("key", page_ref(F.col("url"))["key"]).join(keys, ["claim_id", "judge", "key"], "left_semi")
 
 
 def merge_evidence(evidence: DataFrame, cited: DataFrame, claims: DataFrame) -> DataFrame:
@@ -116,19 +113,22 @@ def merge_evidence(evidence: DataFrame, cited: DataFrame, claims: DataFrame) ->
     shuffle (row-number group limits), so a claim never gathers more than that.
     """
     own = claims.select("claim_id", url_key(F.col("own_url")).alias("own_key"), "target_date")
-    shared = ["claim_id", "judge", "pos", "url", "title", "date", "snippet"]
-    ev = evidence.select(*shared, F.lit(0).alias("tier"))
-    ct = cited.select("claim_id", "judge", "pos", "url", "title", F.lit(None).cast("date").alias("date"), F.lit(None).cast("string").alias("snippet"))
-    rows = ev.unionByName(ct.withColumn("tier", F.lit(1))).withColumn("url", strip_signed_params(F.trim("url")))
-    rows = rows.withColumn("key", url_key(F.col("url"))).where(F.col("key").isNotNull())
+    shared = ["claim_id", "judge", "pos", "title"]
+    ev = evidence.select(*shared, "date", "snippet", page_ref(F.col("url")).alias("ref"), F.lit(0).alias("tier"))
+    ct = cited.select(
+        *shared, F.lit(None).cast("date").alias("date"), F.lit(None).cast("string").alias("snippet"), page_ref(F.col("url")).alias("ref"), F.lit(1).alias("tier")
+    )
+    rows = ev.unionByName(ct).select(*shared, "date", "snippet", "tier", "ref.url", "ref.key")
     # Evidence queues are per judge; cited pages form one queue in judge order.
     queue = F.when(F.col("tier") == 0, F.col("judge")).otherwise(F.lit("~cited"))
     first = rows.groupBy("claim_id", "tier", queue.alias("queue"), "key").agg(
         F.min(F.struct("judge", "pos", "url", "title", "date", "snippet")).alias("r")
     )
     usable = first.join(own, "claim_id", "left").where(F.col("own_key").isNull() | (F.col("key") != F.col("own_key")))
-    rank = F.row_number().over(W.partitionBy("claim_id", "tier", "queue").orderBy(F.col("r.judge"), F.col("r.pos"), F.col("key")))
-    head = usable.withColumn("rank", rank).where(F.col("rank") <= 2 * MAX_EVIDENCE).where((F.col("tier") == 1) | (F.col("rank") <= MAX_EVIDENCE))
+    # URLs without a key go last and drop out after the cut.
+    order = [F.col("key") == "", F.col("r.judge"), F.col("r.pos"), F.col("key")]
+    rank = F.row_number().over(W.partitionBy("claim_id", "tier", "queue").orderBy(*order))
+    head = usable.withColumn("rank", rank).where(F.col("rank") <= 2 * MAX_EVIDENCE).where(F.col("key") != "").where((F.col("tier") == 1) | (F.col("rank") <= MAX_EVIDENCE))
     item = F.struct("rank", "queue", "key", F.struct("r.url", "r.title", "r.date", "r.snippet").alias("e"))
     grouped = head.groupBy("claim_id").agg(
         F.first("target_date").alias("target_date"),
