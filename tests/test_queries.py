@@ -64,3 +64,19 @@ def test_live_votes_ask_for_a_tie_break(spark):
     s.createDataFrame([(1, "C", "incorrect", 0.7)], schema).write.parquet(f"{root}/in/2")
     both = ST.run_available(ST.live_votes(votes, None), f"{root}/run").where("claim_id = '1' AND verdict IS NOT NULL").collect()
     assert [(r.verdict, r.confidence) for r in both] == [("incorrect", 0.75)]
+
+
+def test_live_deadlines_fire_in_event_time(spark):
+    s, root = ST.stateful_session(spark), scratch(spark)
+    schema = "id string, type string, verdict string, target_date date, seen_at timestamp"
+    day = dt.date(2020, 3, 1)
+    waves = [
+        [("a", "prediction", "pending", day, dt.datetime(2020, 1, 1)), ("b", "prediction", "correct", day, dt.datetime(2020, 1, 1))],
+        [("c", "prediction", "pending", dt.date(2021, 3, 1), dt.datetime(2020, 2, 10))],
+        [("d", "prediction", "pending", dt.date(2021, 3, 1), dt.datetime(2020, 3, 10))],
+    ]
+    stream = s.readStream.schema(schema).parquet(f"{root}/in/*")
+    for i, rows in enumerate(waves):
+        s.createDataFrame(rows, schema).write.parquet(f"{root}/in/{i}")
+        fired = ST.run_available(ST.live_deadlines(stream), f"{root}/run")
+    assert [(r.id, r.kind) for r in fired.orderBy("batch_id").collect()] == [("a", "coming_due"), ("a", "came_due")]
