@@ -1,0 +1,136 @@
+"""Secret scans: leftmost matches of strong patterns, and weak parts of credentials linked by an interval join.
+
+Strong findings (`assign`, `access`, `hex`) count by themselves. Weak parts (a user or client identifier, a bare token
+of forty characters, a service endpoint) say little alone and are reported only where complementary parts stand in one
+scope: an identifier with a secret, and an endpoint with both. A scope is a stretch of SCOPE characters between two
+parts. Parts meet by an equi-join on (document, cell of SCOPE characters) over neighbouring cells, then by their real
+distance, so neither a long document nor a document with thousands of parts is compared with itself all to all.
+
+Positions are code points, ends exclusive. Defined results: a null or empty text has no findings and the digest of the
+empty string; repeated rows each get their findings; null ids are ids like any other; input columns that carry the
+names of results are replaced; an empty table gives an empty table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from saidso.session import materialize
+
+# The strong patterns, the shortest finding of each, and what is measured.
+ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = r"AKIA[A-Z0-9]+"
+HEX = r"[0-9a-f]{24,}"  # runs are maximal, so shorter ones need not be listed to be dropped
+STRONG = (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX))
+WEAK = (
+    ("identifier", r"""(?i:(?:access_key_id|client_id|account_id|user_name|username|login))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@_.-]{3,}"""),
+    ("bare", r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_.=-])"),
+    ("endpoint", r"(?i:(?:https?|jdbc:[a-z0-9]+|amqps?|mongodb|redis|ftps?)://)[A-Za-z0-9@:._-]{4,}"),
+)
+KINDS = [k for k, _ in STRONG + WEAK]
+#: Characters between two parts that are still one scope.
+SCOPE = 400
+SPAN = "array<struct<kind:string,start:int,stop:int>>"
+
+
+def _spans(text: Column, kind: str, pattern: str, matches: Column) -> Column:
+    """Where `matches`, all matches of `pattern` in order, stand: the pieces between them are what split leaves."""
+    pieces = F.transform(F.split(text, pattern, -1), F.length)
+    widths = F.transform(matches, F.length)
+    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
+
+    def step(state: Column, pair: Column) -> Column:
+        begin = state["at"] + pair["gap"]
+        end = begin + pair["width"]
+        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("stop")))).alias("out"))
+
+    pairs = F.transform(widths, lambda w, i: F.struct(F.get(pieces, i).alias("gap"), w.alias("width")))
+    return F.aggregate(pairs, start, step, lambda s: s["out"])
+
+
+def found(docs: DataFrame) -> DataFrame:
+    """`docs` with `strong` and `weak`, arrays of (kind, start, stop) ordered by place."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    listed = docs.withColumns({f"_m_{k}": F.regexp_extract_all(text, F.lit(p), F.lit(0)) for k, p in STRONG + WEAK})
+    spans = {k: F.when(F.size(f"_m_{k}") > 0, _spans(text, k, p, F.col(f"_m_{k}"))).otherwise(F.expr(f"cast(array() as {SPAN})")) for k, p in STRONG + WEAK}
+    width = {"assign": lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6, "access": lambda m: F.length(m) >= 20}
+    for kind, keeps in width.items():
+        spans[kind] = _where(spans[kind], F.transform(F.col(f"_m_{kind}"), keeps))
+    mixed = F.transform(F.col("_m_bare"), lambda m: m.rlike("[0-9]") & m.rlike("[a-z]") & m.rlike("[A-Z]"))
+    spans["bare"] = _where(spans["bare"], mixed)
+    strong = _ordered(F.concat(*(spans[k] for k, _ in STRONG)))
+    weak = _ordered(F.concat(*(spans[k] for k, _ in WEAK)))
+    return listed.withColumns({"strong": strong, "weak": weak}).drop(*(f"_m_{k}" for k in KINDS))
+
+
+def _where(spans: Column, keeps: Column) -> Column:
+    return F.filter(spans, lambda s, i: F.get(keeps, i))
+
+
+def _ordered(spans: Column) -> Column:
+    """By start, then kind as listed."""
+    rank = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("k"), s["stop"].alias("stop"), s["kind"].alias("kind")))
+    return F.transform(F.array_sort(rank), lambda r: F.struct(r["kind"].alias("kind"), r["start"].alias("start"), r["stop"].alias("stop")))
+
+
+def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """The weak parts that complementary parts support.
+
+    `parts`: key, role (`id`, `secret` or `endpoint`), weak, kind, start, stop. Returns key and `added`, the supported
+    weak parts of the key.
+    """
+    cells = F.sequence(F.floor(F.col("start") / scope) - 1, F.floor((F.col("stop") - 1) / scope) + 1)
+    wanting = parts.where("weak").select("key", "role", "kind", "start", "stop", F.explode(cells).alias("cell"))
+    # Only the outermost parts of a role in a cell can be nearest to anything outside it, and inside it any will do.
+    there = parts.select("key", "role", "start", "stop", F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor((F.col("stop") - 1) / scope))).alias("cell"))
+    there = there.groupBy("key", "cell", F.col("role").alias("other")).agg(F.min(F.struct("start", "stop")).alias("low"), F.max(F.struct("stop", "start")).alias("high"))
+    gap = lambda s, e: F.greatest(F.col("start") - e, s - F.col("stop"))  # noqa: E731  negative where they overlap
+    near = (gap(F.col("low.start"), F.col("low.stop")) <= scope) | (gap(F.col("high.start"), F.col("high.stop")) <= scope)
+    met = wanting.join(there, ["key", "cell"]).where((F.col("role") != F.col("other")) & near)
+    seen = met.groupBy("key", "role", "kind", "start", "stop").agg(F.bool_or(F.col("other") == "id").alias("i"), F.bool_or(F.col("other") == "secret").alias("s"))
+    held = seen.where("(role = 'id' AND s) OR (role = 'secret' AND i) OR (role = 'endpoint' AND i AND s)")
+    return held.groupBy("key").agg(F.collect_list(F.struct("kind", "start", "stop")).alias("added"))
+
+
+def _parts(scanned: DataFrame) -> DataFrame:
+    """The parts of documents that have a weak one, with their roles; a weak part that a strong one covers is none."""
+    clear = F.filter("weak", lambda w: ~F.exists("strong", lambda s: (s["start"] < w["stop"]) & (w["start"] < s["stop"])))
+    known = {"access": "id", "identifier": "id", "endpoint": "endpoint"}
+    role = lambda k: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in known.items() for x in pair)), k), F.lit("secret"))
+    both = F.concat(F.transform(clear, lambda s: F.struct(F.lit(True).alias("weak"), s.alias("s"))), F.transform("strong", lambda s: F.struct(F.lit(False).alias("weak"), s.alias("s"))))
+    rows = scanned.where(F.size("weak") > 0).select("key", F.explode(both).alias("p")).select("key", "p.weak", "p.s.*")
+    return rows.withColumn("role", role(F.col("kind"))).distinct()
+
+
+def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """`docs` without text, with `strong` (the strong findings) and `spans` (these and the supported weak parts), by place."""
+    key = F.struct("doc_id", F.xxhash64("text").alias("text"))
+    scanned = found(docs.drop("strong", "weak", "spans", "added", "key", *(f"_m_{k}" for k in KINDS)).withColumn("key", key))
+    scanned = materialize(scanned.drop("text"))
+    added = linked(_parts(scanned), scope)
+    # A document is named by id and text together; equal rows get equal findings.
+    joined = scanned.join(added.withColumnRenamed("key", "_key"), F.col("key").eqNullSafe(F.col("_key")), "left")
+    every = _ordered(F.concat("strong", F.coalesce("added", F.expr(f"cast(array() as {SPAN})"))))
+    return joined.withColumn("spans", every).drop("weak", "added", "_key")
+
+
+def of_kind(spans: Column, kind: str) -> Column:
+    return F.filter(spans, lambda s: s["kind"] == kind)
+
+
+def written(spans: Column) -> Column:
+    """kind:start:stop of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+
+
+def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
+    """`text` with every span, or stretch of overlapping spans, replaced by `mark`."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(state: Column, s: Column) -> Column:
+        gap = F.substr(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
+        fresh = s["start"] >= state["at"]
+        return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), F.when(fresh, F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"]).alias("out"))
+
+    return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1)))
