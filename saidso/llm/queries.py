@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saidso.llm import decontamination, licenses, secrets, sharding, url_filters
+from saidso.llm import decontamination, licenses, packing, secret_scans, sharding, simhash, topk, toxicity, url_filters
 
 # The URL rules of op4.
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -15,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer() -> str:
+    """The vocabulary file of op7, where the installed package has it."""
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", *(F.array_join(c, ",").alias(c) for c in ("license_sentences", "licenses", "unmatched")))
@@ -30,22 +36,47 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(pages, url_filters.rule_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return grouped.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = table(spark, sf_dir, "embeddings")
+    return topk.top_k(every, every.where("vec_id % 100 = 0"), 10)
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer())
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), 8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = {f"n_{k}": F.size(secrets.of_kind(F.col("strong"), k)).cast("long") for k, _ in secrets.STRONG}
-    base = F.sha2(secrets.written(F.col("strong")), 256)
-    return found.select("doc_id", *(c.alias(n) for n, c in counts.items()), base.alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
+    found = secret_scans.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = {f"n_{k}": F.size(secret_scans.of_kind(F.col("strong"), k)).cast("long") for k, _ in secret_scans.STRONG}
+    base = F.sha2(secret_scans.written(F.col("strong")), 256)
+    return found.select("doc_id", *(c.alias(n) for n, c in counts.items()), base.alias("base_sha256"), secret_scans.written(F.col("spans")).alias("spans"))
 
 
 QUERIES = {
     "op1_license_scans": op1_license_scans,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op4_url_filters": op4_url_filters,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_exact_topk": op6_exact_topk,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_secret_scans": op10_secret_scans,
 }
