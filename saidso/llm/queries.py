@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from saidso.llm import decontamination, licenses, packing, secret_scans, sharding, simhash, topk, toxicity, url_filters
 
 # The URL rules of op4.
@@ -69,6 +70,11 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(c.alias(n) for n, c in counts.items()), base.alias("base_sha256"), secret_scans.written(F.col("spans")).alias("spans"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the pipeline's sequences; corpus_pipeline.run returns their ids too."""
+    return corpus_pipeline.run(spark, sf_dir).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 QUERIES = {
     "op1_license_scans": op1_license_scans,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -79,6 +85,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_secret_scans": op10_secret_scans,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL = {

@@ -146,11 +146,21 @@ def regression(lists: list[np.ndarray], toxic: np.ndarray, scale: np.ndarray, de
     return w * scale, b
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` with score (0 to 1) and predicted (1 from `threshold` on)."""
+def score(text: Column, model: Model) -> Column:
+    """The chance, 0 to 1, that a text is toxic."""
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    def of(texts: pd.Series) -> pd.Series:
         return pd.Series([model.score(t) for t in texts], dtype="float64")
 
-    return docs.withColumn("score", score(F.col(text))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return of(text)
+
+
+def scored(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """`docs` with score and predicted (1 from `threshold` on)."""
+    return docs.withColumn("score", score(F.col(text), model)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def passed(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs` below the threshold."""
+    return docs.where(score(F.col(text), model) < threshold)
