@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from saidso.llm import decontamination, licenses, packing, secret_scans, sharding, simhash, topk, toxicity, url_filters
+from saidso.llm import decontamination, html_extraction, licenses, packing, secret_scans, sharding, simhash, topk, toxicity, url_filters
 
 # The URL rules of op4.
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -32,6 +32,11 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return leaks.select("doc_id", "item_id", "n_shingles", "n_found")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extraction.extract_text(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filters.judge_urls(pages, url_filters.rule_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
@@ -78,6 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_license_scans": op1_license_scans,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_html_extraction": op3_html_extraction,
     "op4_url_filters": op4_url_filters,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_exact_topk": op6_exact_topk,
