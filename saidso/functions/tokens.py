@@ -117,13 +117,24 @@ def _table(values: dict) -> Column:
 
 
 def _number_text(v: Column) -> Column:
-    """Twelve significant digits, no trailing zeros."""
-    scale = F.pow(F.lit(10.0), 11 - F.floor(F.log10(v)))
-    rounded = F.floor(v * scale + 0.5) / scale
-    text = F.when(
-        rounded == F.floor(rounded), F.floor(rounded).cast("decimal(38,0)").cast("string")
-    ).otherwise(F.regexp_replace(rounded.cast("decimal(38,12)").cast("string"), r"\.?0+$", ""))
-    return F.when(v == 0, "0").otherwise(text)
+    """Twelve significant digits, no trailing zeros; powers of ten from 21 up and from -7 down are written as such."""
+    form = F.format_string("%.11e", v)
+    digits = F.regexp_replace(F.regexp_replace(F.substring_index(form, "e", 1), r"\.", ""), "0+$", "")
+    power = F.substring_index(form, "e", -1).try_cast("int")
+
+    def place(d: Column) -> Column:
+        n = F.length(d)
+        head, tail = F.substr(d, F.lit(1), power + 1), F.substr(d, power + 2)
+        mantissa = F.when(n == 1, d).otherwise(F.concat(F.left(d, F.lit(1)), F.lit("."), F.substr(d, F.lit(2))))
+        sign = F.when(power < 0, "e-").otherwise("e+")
+        return (
+            F.when((power >= 21) | (power < -6), F.concat(mantissa, sign, F.abs(power).cast("string")))
+            .when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), d))
+            .when(n <= power + 1, F.concat(d, F.repeat(F.lit("0"), power + 1 - n)))
+            .otherwise(F.concat(head, F.lit("."), tail))
+        )
+
+    return F.when(v == 0, "0").when(v == float("inf"), "Infinity").otherwise(let(digits, place))
 
 
 def number_signature(words: Column) -> Column:

@@ -156,16 +156,17 @@ def transcript_key(source: Column) -> Column:
 
 
 def _ipv4_number(host: Column) -> Column:
-    """The 32-bit value of a numeric host in any spelling (dotted, short, octal, hex), else NULL."""
+    """The value of a numeric host in any spelling (dotted, short, octal, hex), else NULL; parts too long for 32 bits give one beyond them."""
     parts = F.split(host, r"\.")
     numeric = host.rlike(r"^(?:0x[0-9a-f]+|\d+)(?:\.(?:0x[0-9a-f]+|\d+)){0,3}$")
-    value = F.transform(
-        parts,
-        lambda p: F.when(p.startswith("0x"), F.conv(F.substring(p, 3, 16), 16, 10))
-        .when(p.rlike("^0[0-7]+$"), F.conv(p, 8, 10))
-        .otherwise(p)
-        .try_cast("long"),
-    )
+
+    def part(p: Column) -> Column:
+        digits = F.regexp_replace(p, "^0x0*|^0+", "")
+        digits = F.when(digits == "", "0").otherwise(digits)
+        number = F.when(p.startswith("0x"), F.conv(digits, 16, 10)).when(p.rlike("^0[0-7]+$"), F.conv(digits, 8, 10)).otherwise(digits)
+        return F.when(F.length(digits) > 11, F.lit(1 << 34)).otherwise(F.least(number.try_cast("long"), F.lit(1 << 34)))
+
+    value = F.transform(parts, part)
     n = F.size(parts)
     placed = F.transform(
         value, lambda v, i: v * F.when(i == n - 1, F.lit(1.0)).otherwise(F.pow(F.lit(256.0), 3 - i)).cast("long")

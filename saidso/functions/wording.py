@@ -68,7 +68,7 @@ def topic_label(slug: Column) -> Column:
         words,
         lambda w, i: F.coalesce(
             _lookup(TOPIC_WORDS, w),
-            F.when(i == 0, F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))).otherwise(w),
+            F.when(i == 0, F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))).otherwise(w),
         ),
     )
     return F.array_join(named, " ")

@@ -260,13 +260,18 @@ def _pieces(k: int) -> Column:
     )
 
 
+def _run_length() -> Column:
+    """Words a run may have so that it stays inside its piece: three, or as many as the shortest piece has."""
+    return F.least(F.lit(3), F.floor(F.col("n") / (F.col("budget") + 1)))
+
+
 def _units(quotes: DataFrame, blocks: DataFrame, scoped: bool) -> DataFrame:
     """(candidate_id, transcript_id, block): where some piece of the quote occurs word for word."""
     on = ["transcript_id", "run"] if scoped else ["run"]
     key = ["candidate_id", "transcript_id"] if scoped else ["candidate_id"]
     found = None
     for k in (1, 2, 3):
-        part = quotes.where(F.col("n") == k if k < 3 else F.col("n") >= 3)
+        part = quotes.where(_run_length() == k)
         if k < 3 and part.isEmpty():
             continue
         runs = part.select(*key, F.explode(_pieces(k)).alias("run")).distinct()
@@ -309,8 +314,11 @@ def verify_quotes(
 
     `candidates`: candidate_id, quote, speaker, host and, when scoped, transcript_id.
     Adds verified, score, reason, matched_text, char_offset, end_offset,
-    timestamp_sec, matched_speaker, first_seg, last_seg.
+    timestamp_sec, matched_speaker, first_seg, last_seg. `min_score` is above 0:
+    at 0 nothing of a quote need occur, and no index could find it.
     """
+    if not 0 < min_score <= 1:
+        raise ValueError("min_score must be above 0 and at most 1")
     # Read several times below: written once, so the planner also knows which side is small.
     blocks = materialize(token_blocks(token_table(segments), block))
     quotes = materialize(prepare_quotes(candidates, min_score))

@@ -333,7 +333,7 @@ def page_titles(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def page_text(spark: SparkSession, sf: str) -> DataFrame:
-    return P.page_text(table(spark, sf, "pages")).select("page_id", "text", "unsettled")
+    return P.page_text(table(spark, sf, "pages")).select("page_id", "text")
 
 
 @query

@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folder of the run that is going on, if there is one.
+_folder: ContextVar[str | None] = ContextVar("saidso_run_folder", default=None)
+
 
 def local_session(cpus: str | int = "*", app: str = "saidso") -> SparkSession:
     """A session for tests and the bench; on a cluster the caller brings its own."""
@@ -29,17 +37,41 @@ def local_session(cpus: str | int = "*", app: str = "saidso") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a fresh temporary one only where none is set, as in tests."""
+    """The folder the cluster names for checkpoints. A session in one process without one gets a fresh temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
-        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(named)
+        return private_folder(spark.sparkContext)
+    return named
+
+
+def private_folder(context: SparkContext) -> str:
+    """A new folder of this machine, for sessions that have no other machine."""
+    if not re.match(r"local(\[|$)", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    context.setCheckpointDir(named)
     return named
 
 
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables of the block go to one new folder, which is deleted when the block ends.
+
+    Results are read from those tables when they are computed: write or collect them inside the block.
+    """
+    folder = f"{shared_folder(spark).rstrip('/')}/saidso-{uuid.uuid4().hex}"
+    mark = _folder.set(folder)
+    try:
+        yield folder
+    finally:
+        _folder.reset(mark)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder name under the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/saidso-{uuid.uuid4().hex}"
+    """A fresh folder name under the folder of the run, else under the shared folder."""
+    return f"{(_folder.get() or shared_folder(spark)).rstrip('/')}/saidso-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -21,7 +21,6 @@ _ENTITY = r"(?i)&(?:#x[0-9a-f]+|#\d+|[a-z]+);"
 _DROP = rf"(?is)<({'|'.join(DROPPED_ELEMENTS)})\b[^>]*>.*?</\1\s*>"
 _BLOCK_END = r"(?i)</(?:p|div|section|article|main|blockquote|li|ul|ol|h[1-6]|tr|table|pre|figure|figcaption|dd|dt)\s*>"
 _BLOCK_START = r"(?i)<(?:p|div|section|article|main|blockquote|li|h[1-6]|tr|pre|figure|dd|dt)\b[^>]*>"
-DROP_PASSES = 4
 
 
 def collapse_spaces(s: Column) -> Column:
@@ -34,10 +33,12 @@ def _code_point(n: Column) -> Column:
 
 
 def _decode_one(entity: Column) -> Column:
-    body = F.lower(F.substring(entity, 2, 1000))
-    name = F.regexp_replace(body, ";$", "")
+    name = F.lower(F.regexp_extract(entity, "^&(.*);$", 1))
     table = F.create_map(*[F.lit(x) for kv in NAMED_ENTITIES.items() for x in kv])
-    digits = F.when(name.startswith("#x"), F.conv(F.substring(name, 3, 12), 16, 10)).otherwise(F.substring(name, 2, 12)).try_cast("long")
+    # Leading zeros say nothing; what is left beyond eight digits is no character.
+    written = F.regexp_extract(name, "^#x?0*([0-9a-f]*)$", 1)
+    kept = F.when(F.length(written) <= 8, F.when(written == "", "0").otherwise(written))
+    digits = F.when(name.startswith("#x"), F.conv(kept, 16, 10)).otherwise(kept).try_cast("long")
     number = F.when(digits.between(1, 0x10FFFF) & ~digits.between(0xD800, 0xDFFF), _code_point(digits))
     return F.coalesce(F.when(name.startswith("#"), number).otherwise(F.try_element_at(table, name)), entity)
 
@@ -50,18 +51,27 @@ def decode_entities(s: Column) -> Column:
     return F.when(F.contains(s, F.lit("&")), joined).otherwise(s)
 
 
+def _without_boilerplate(s: Column) -> Column:
+    """Boilerplate elements go, again and again until none is left: every pass that changes anything takes a closing tag with it."""
+    closing = F.greatest(F.size(F.split(s, "</")) - 1, F.lit(1))
+    start = F.struct(s.alias("s"), F.lit(False).alias("done"))
+
+    def once(state: Column, _: Column) -> Column:
+        again = ~state["done"] & state["s"].rlike(_DROP)
+        return F.when(again, F.struct(F.regexp_replace(state["s"], _DROP, " ").alias("s"), F.lit(False).alias("done"))).otherwise(F.struct(state["s"].alias("s"), F.lit(True).alias("done")))
+
+    return F.aggregate(F.sequence(F.lit(1), closing), start, once, lambda state: state["s"])
+
+
 def page_text(pages: DataFrame, html: str = "html") -> DataFrame:
-    """`pages` with `text`; `unsettled` marks pages whose boilerplate nests deeper than the unrolled passes."""
-    s = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    df = pages.withColumn("_s", s)
-    for _ in range(DROP_PASSES):
-        df = df.withColumn("_s", F.when(F.col("_s").rlike(_DROP), F.regexp_replace("_s", _DROP, " ")).otherwise(F.col("_s")))
+    """`pages` with `text`."""
+    df = pages.withColumn("_s", _without_boilerplate(F.regexp_replace(html, r"(?s)<!--.*?-->", "")))
     t = F.regexp_replace("_s", r"(?i)<br\s*/?>", "\n")
     t = F.regexp_replace(F.regexp_replace(t, _BLOCK_END, "\n\n"), _BLOCK_START, "\n\n")
     df = df.withColumn("_t", F.regexp_replace(t, r"<[^>]+>", ""))
     lines = F.transform(F.split(decode_entities(F.col("_t")), "\n"), collapse_spaces)
     text = F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"), f"^{WS}+|{WS}+$", "")
-    return df.withColumn("text", text).withColumn("unsettled", F.col("_s").rlike(_DROP)).drop("_s", "_t")
+    return df.withColumn("text", text).drop("_s", "_t")
 
 
 def page_title(html: Column) -> Column:

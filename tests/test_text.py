@@ -10,12 +10,16 @@ from saidso.operators import chunks as C
 from saidso.operators import extraction as X
 from saidso.operators import layout as LY
 from saidso.operators import quotes as Qt
+from saidso.functions.urls import public_url
+from saidso.functions.wording import topic_label
 from saidso.sources import captions as CP
+from saidso.sources import pages as PG
 
 
 def test_number_signature(spark):
     cases = {
         "ten thousand robots": ["10000"], "10,000 robots": ["10000"], "two hundred and fifty thousand": ["250000"], "2027 2028": ["2027", "2028"], "1.1 million": ["1100000"],
+        "9" * 45: ["1e+45"], "9" * 400: ["Infinity"], "12" + "0" * 15: ["12" + "0" * 15], "0.0000000000004": ["4e-13"], "3.25": ["3.25"], "0.001": ["0.001"], "123456789012345": ["123456789012000"],
         "a dozen": ["12"], "thousands of f2": ["1000", "f2"], "twenty five percent": ["25"], "first half": ["first"], "no numbers": [], "five and six": ["5", "6"],
     }
     df = spark.createDataFrame([(k,) for k in cases], "t string")
@@ -95,6 +99,56 @@ def test_verify_quotes_equals_brute_force(spark):
             assert " ".join(cut.split()) == got[n].matched_text
 
 
+def test_verify_quotes_at_lower_scores(spark):
+    rng = random.Random(23)
+    vocab = [f"w{chr(97 + i)}" for i in range(20)]
+    line = [rng.choice(vocab) for _ in range(70)]
+    s = spark.createDataFrame([("x", i, None, None, " ".join(line[i * 10 : i * 10 + 10])) for i in range(7)], "transcript_id string, seg_no int, start double, speaker string, text string")
+    for min_score in (0.5, 0.7, 0.95):
+        cands = []
+        for n in range(1, 25):
+            at = rng.randint(0, 40)
+            quote = line[at : at + n]
+            for _ in range(rng.randint(0, int(n * (1 - min_score) + 1))):
+                quote[rng.randrange(n)] = rng.choice(vocab)
+            cands.append((n, "x", " ".join(quote), None, None))
+        c = spark.createDataFrame(cands, "candidate_id int, transcript_id string, quote string, speaker string, host string")
+        got = {r.candidate_id: r for r in Qt.verify_quotes(c, s, min_score=min_score, block=16).collect()}
+        for n, _, quote, _, _ in cands:
+            q = quote.split()
+            low = restated(q, [" ".join(line)], int(len(q) * (1 - min_score) + 1e-9))
+            assert got[n].verified == (low is not None), (min_score, quote)
+            if low is not None:
+                assert abs(got[n].score - (1 - low / len(q))) < 6e-4
+
+
+def test_pages_decode_and_drop_without_bounds(spark):
+    cases = {
+        "<p>&#x0000000000000041;&#0000000000000066; &#x110000; &#99999999999999999999;</p>": "AB &#x110000; &#99999999999999999999;",
+        "<p>a</p>" + "<nav>x" * 9 + "</nav>" * 9 + "<p>b</p>": "a\n\nb",
+        "<p>a</p>" + "<aside><form><nav>x</nav></form></aside>" * 7 + "<p>&amp;lt; b</p>": "a\n\n&lt; b",
+    }
+    df = spark.createDataFrame([(h, w) for h, w in cases.items()], "html string, want string")
+    for r in PG.page_text(df).collect():
+        assert " ".join(r.text.split()) == " ".join(r.want.split()), r
+
+
+def test_numeric_hosts_and_long_words(spark):
+    cases = {"http://0x00000000000000000008.8.8.8/a": True, "http://0x0000000000000000007f.0.0.1/a": False, "http://0xffffffffffffffffff.1.1.1/a": False, "http://017700000001/": False, "http://8.8.8.8/": True, "http://99999999999999999999/": False}
+    df = spark.createDataFrame(list(cases.items()), "url string, want boolean")
+    for r in df.withColumn("got", public_url(F.col("url"))).collect():
+        assert r.got == r.want, r.url
+    long = "a" * 3000
+    assert spark.createDataFrame([(f"{long}-b",)], "t string").select(topic_label(F.col("t")).alias("l")).first().l == f"A{long[1:]} b"
+
+
+def test_files_of_unknown_shape_are_named(spark):
+    files = [("a.json", '{"segments":[{"start":"1","text":"hi"}]}'), ("b.json", '{"foo":1}'), ("c.json", "no json"), ("d.json", '[{"start":"2","text":"yo"}]'), ("e.srt", "1\n00:00:01,000 --> 00:00:02,000\nhello\n"), ("f.txt", "Ann: one")]
+    segments, unread = CP.route_segments(spark.createDataFrame(files, "file string, content string"))
+    assert sorted((r.transcript_id, r.text) for r in segments.collect()) == [("a.json", "hi"), ("d.json", "yo"), ("e.srt", "hello"), ("f.txt", "Ann: one")]
+    assert sorted(r.file for r in unread.collect()) == ["b.json", "c.json"]
+
+
 def test_chunks_cover_the_text(spark):
     rng = random.Random(3)
     lines = [" ".join("word." if rng.random() < 0.2 else "word" for _ in range(rng.randint(1, 40))) for _ in range(80)]
