@@ -84,8 +84,8 @@ def contained(docs: DataFrame, items: DataFrame, item_id: str = "item_id", thres
 
 def verified(texts: DataFrame, candidates: DataFrame, listed: DataFrame, runs: list[int], threshold: tuple[int, int]) -> DataFrame:
     """The exact containment of every item in the candidate documents, where it reaches the threshold."""
-    named = candidates.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
-    chosen = texts.join(named, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")), "left_semi")
+    named = candidates.select(F.col("doc_id").alias("__leak_id"), F.col("text_key").alias("__leak_key"))
+    chosen = texts.join(named, F.col("doc_id").eqNullSafe(F.col("__leak_id")) & (F.col("text_key") == F.col("__leak_key")), "left_semi")
     tokens = chosen.select("doc_id", "text_key", words(F.col("text")).alias("tokens"))
     lists = [_with_run(F.array_distinct(shingles(F.col("tokens"), F.lit(r))), r) for r in runs]
     if not lists:
@@ -104,5 +104,5 @@ def _with_run(texts: Column, run: int) -> Column:
 
 def without_leaks(docs: DataFrame, items: DataFrame, item_id: str = "item_id") -> DataFrame:
     """The documents that contain no item."""
-    leaks = materialize(contained(docs, items, item_id).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct())
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key")), "left_anti")
+    leaks = materialize(contained(docs, items, item_id).select(F.col("doc_id").alias("__leak_id"), F.col("text_key").alias("__leak_key")).distinct())
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(F.col("__leak_id")) & (F.xxhash64(docs["text"]) == F.col("__leak_key")), "left_anti")

@@ -140,12 +140,12 @@ def masked(docs: DataFrame, scope: int = SCOPE, mark: str = "[secret]") -> DataF
     """`docs` with every finding in `text` replaced by `mark`, and n_chars, where there is one, the new length; null texts stay."""
     found_in = scan_secrets(docs.select("doc_id", "text"), scope).where(F.size("spans") > 0)
     # Equal rows have equal findings, so one of them is enough.
-    hits = found_in.groupBy("key").agg(F.first("spans").alias("__spans")).select(F.col("key.doc_id").alias("__id"), F.col("key.text").alias("__key"), "__spans")
+    hits = found_in.groupBy("key").agg(F.first("spans").alias("__secret_spans")).select(F.col("key.doc_id").alias("__secret_id"), F.col("key.text").alias("__secret_key"), "__secret_spans")
     hits = materialize(hits)
-    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key"))
+    same = docs["doc_id"].eqNullSafe(F.col("__secret_id")) & (F.xxhash64(docs["text"]) == F.col("__secret_key"))
     joined = docs.join(hits, same, "left")
-    clean = joined.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("__spans"), mark)))
+    clean = joined.withColumn("text", F.when(F.col("__secret_spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("__secret_spans"), mark)))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        clean = clean.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+        clean = clean.withColumn("n_chars", F.when(F.col("__secret_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
     return clean.select(docs.columns)

@@ -150,10 +150,10 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     grouped = materialize(near_duplicates(docs.select("doc_id", "text"), radius))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     first = grouped.groupBy(F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).alias("c")).agg(F.min(order).alias("k"))
-    stay = first.select(F.col("k.doc_id").alias("__id"), F.col("k.text_key").alias("__key")).distinct()
-    times = grouped.groupBy("doc_id", "text_key").agg(F.count("*").alias("__n"))
-    stay = materialize(stay.join(times, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__key") == F.col("text_key"))).select("__id", "__key", "__n"))
-    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key"))
-    single = docs.join(stay.where("__n = 1"), same, "left_semi")
-    again = docs.join(stay.where("__n > 1"), same).drop("__n").dropDuplicates(["__id", "__key"]).drop("__id", "__key")
+    stay = first.select(F.col("k.doc_id").alias("__near_id"), F.col("k.text_key").alias("__near_key")).distinct()
+    times = grouped.groupBy("doc_id", "text_key").agg(F.count("*").alias("__near_n"))
+    stay = materialize(stay.join(times, F.col("__near_id").eqNullSafe(F.col("doc_id")) & (F.col("__near_key") == F.col("text_key"))).select("__near_id", "__near_key", "__near_n"))
+    same = docs["doc_id"].eqNullSafe(F.col("__near_id")) & (F.xxhash64(docs["text"]) == F.col("__near_key"))
+    single = docs.join(stay.where("__near_n = 1"), same, "left_semi")
+    again = docs.join(stay.where("__near_n > 1"), same).drop("__near_n").dropDuplicates(["__near_id", "__near_key"]).drop("__near_id", "__near_key")
     return single.unionByName(again)

@@ -73,7 +73,7 @@ def _scores(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return (left.astype(float) @ right.astype(float).T).astype(np.int64)
     if most < EDGE:
         return left @ right.T
-    return np.clip(left.astype(object) @ right.astype(object).T, -EDGE, EDGE).astype(np.int64)
+    return np.clip(left.astype(object) @ right.astype(object).T, 2048 - EDGE, EDGE - 2048).astype(np.int64)
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -147,12 +147,12 @@ def _refined(state: DataFrame, met: DataFrame) -> DataFrame:
     joined = counts.withColumn("down", F.sum("n").over(down)).join(state.select(F.col("vec_id").alias("query_id"), F.col("need").alias("k")), "query_id")
     hit = joined.where("down >= k AND down - n < k").select(F.col("query_id").alias("vec_id"), "bin", (F.col("k") - F.col("down") + F.col("n")).alias("left"))
     found = state.join(hit, "vec_id", "left")
-    # Without a hit the query has fewer than k candidates: its interval stays at the lowest score, and all of them reach it.
+    # Without a hit the query has fewer than k candidates: all of them reach its lowest score, and it looks no further.
     low = F.when(F.col("bin").isNotNull(), F.col("low") + F.col("bin") * F.col("width")).otherwise(F.col("low"))
     width = F.when(F.col("bin").isNotNull(), F.ceil(F.col("width") / BINS).cast("long")).otherwise(F.lit(1).cast("long"))
     need = F.when(F.col("bin").isNotNull(), F.col("left")).otherwise(F.col("need"))
     done = (F.col("width") == 1) | F.col("bin").isNull()
-    return found.select("vec_id", "v", "dim", "block", low.alias("low"), F.when(F.col("bin").isNotNull(), F.col("width")).otherwise(F.col("span")).alias("span"), F.when(done, F.lit(1).cast("long")).otherwise(width).alias("width"), need.alias("need"), done.alias("done"))
+    return found.select("vec_id", "v", "dim", "block", low.alias("low"), F.when(F.col("bin").isNotNull(), F.col("width")).otherwise(F.lit(0).cast("long")).alias("span"), F.when(done, F.lit(1).cast("long")).otherwise(width).alias("width"), need.alias("need"), done.alias("done"))
 
 
 def top_k(table: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:

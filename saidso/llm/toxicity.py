@@ -104,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     if not n.all():
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
     p, q = counts[1] + 1.0, counts[0] + 1.0
-    ratio = np.log((p / p.sum()) / (q / q.sum()))
+    ratio = np.log((p / (n[1] + 2)) / (q / (n[0] + 2)))
     held = counts.sum(axis=0)
     expected = held * (n[1] / n.sum())
     chi = np.where(held >= LEAST, (counts[1] - expected) ** 2 / np.maximum(expected * (1 - held / n.sum()), 1e-9), 0)
