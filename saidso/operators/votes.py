@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from saidso.functions.binding import let
 from saidso.functions.dates import calendar_date, iso, lateness_applies, lateness_months
 from saidso.functions.urls import page_ref, url_key
 from saidso.functions.wording import neutral_or, neutral_rationale
 from saidso.schemas import GRADED_VERDICTS
+from saidso.session import materialize
 
 MAX_EVIDENCE = 5
 DEADLINE_RULE = "rule:deadline"
@@ -95,10 +97,23 @@ def verified_evidence(evidence: Column, citations: Column, searched: Column) ->
 
 
 def verified_evidence_rows(evidence: DataFrame, pages: DataFrame) -> DataFrame:
-    """The same on flat tables: evidence (claim_id, judge, url, …) kept when the judge's pages (claim_id, judge, url) hold its key."""
+    """The same on flat tables: evidence (claim_id, judge, url, …) kept when the judge's pages (claim_id, judge, url) hold its key.
+
+    Either table may carry `ref` already, as `with_refs` adds it.
+    """
     # Different stand-ins for "no key", so two unusable URLs never meet.
-    keys = pages.select("claim_id", "judge", page_ref(F.col("url"), "?")["key"].alias("key")).distinct()
-    return evidence.withColumn("key", page_ref(F.col("url"))["key"]).join(keys, ["claim_id", "judge", "key"], "left_semi")
+    key = let(_ref(pages)["key"], lambda k: F.when(k == "", "?").otherwise(k))
+    keys = pages.select("claim_id", "judge", key.alias("key")).distinct()
+    return evidence.withColumn("key", _ref(evidence)["key"]).join(keys, ["claim_id", "judge", "key"], "left_semi")
+
+
+def _ref(rows: DataFrame) -> Column:
+    return F.col("ref") if "ref" in rows.columns else page_ref(F.col("url"))
+
+
+def with_refs(rows: DataFrame) -> DataFrame:
+    """`rows` written once with `ref`, their parsed URL, for jobs that read it several times."""
+    return materialize(rows.withColumn("ref", page_ref(F.col("url"))))
 
 
 def merge_evidence(evidence: DataFrame, cited: DataFrame, claims: DataFrame) -> DataFrame:
@@ -114,9 +129,9 @@ def merge_evidence(evidence: DataFrame, cited: DataFrame, claims: DataFrame) ->
     """
     own = claims.select("claim_id", url_key(F.col("own_url")).alias("own_key"), "target_date")
     shared = ["claim_id", "judge", "pos", "title"]
-    ev = evidence.select(*shared, "date", "snippet", page_ref(F.col("url")).alias("ref"), F.lit(0).alias("tier"))
+    ev = evidence.select(*shared, "date", "snippet", _ref(evidence).alias("ref"), F.lit(0).alias("tier"))
     ct = cited.select(
-        *shared, F.lit(None).cast("date").alias("date"), F.lit(None).cast("string").alias("snippet"), page_ref(F.col("url")).alias("ref"), F.lit(1).alias("tier")
+        *shared, F.lit(None).cast("date").alias("date"), F.lit(None).cast("string").alias("snippet"), _ref(cited).alias("ref"), F.lit(1).alias("tier")
     )
     rows = ev.unionByName(ct).select(*shared, "date", "snippet", "tier", "ref.url", "ref.key")
     # Evidence queues are per judge; cited pages form one queue in judge order.

@@ -59,13 +59,13 @@ SCORE_COLUMNS = (
 
 @query
 def person_scorecard(spark: SparkSession, sf: str) -> DataFrame:
-    s = S.person_scorecard(drifted(spark, sf))
+    s = S.person_scorecard(drifted(spark, sf), ledger(spark, sf))
     return s.select(*SCORE_COLUMNS, "accuracy", "credit_accuracy", "brier", _r("lateness_multiplier"))
 
 
 @query
 def leaderboard(spark: SparkSession, sf: str) -> DataFrame:
-    s = S.leaderboard(S.person_scorecard(drifted(spark, sf)))
+    s = S.leaderboard(S.person_scorecard(drifted(spark, sf), ledger(spark, sf)))
     return s.select(
         "person_slug", "predictions", "correct", "incorrect", "partial", "open", "drift_events", "thin_record", "versus_coin_flip",
         "accuracy", "brier", _r("lateness_multiplier"),
@@ -74,7 +74,7 @@ def leaderboard(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def corpus_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return S.corpus_totals(S.person_scorecard(drifted(spark, sf)))
+    return S.claim_totals(drifted(spark, sf))
 
 
 @query
@@ -286,9 +286,9 @@ def evidence_verified(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def evidence_merge(spark: SparkSession, sf: str) -> DataFrame:
-    ev, read = _evidence(spark, sf)
+    ev, read = map(V.with_refs, _evidence(spark, sf))
     ok = V.verified_evidence_rows(ev, read)
-    cited = read.select("claim_id", "judge", "pos", "url", F.lit(None).cast("string").alias("title"))
+    cited = read.select("claim_id", "judge", "pos", "url", "ref", F.lit(None).cast("string").alias("title"))
     claims = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("claim_id"), F.lit("https://site0.example.com/a/0?id=0").alias("own_url"),
         F.col("o_orderdate").cast("date").alias("target_date"),
