@@ -114,8 +114,8 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_claims(project(table(spark, sf_dir, "orders"), LEDGER_COLUMNS))
 
 
-def as_claims(flat: DataFrame) -> DataFrame:
-    """The flat projection with nested source and grading, in the claims schema."""
+def as_claims(flat: DataFrame, *extra: str) -> DataFrame:
+    """The flat projection with nested source and grading, in the claims schema; `extra` columns are kept as they are."""
     graded = ~F.col("verdict").isin("pending", "too_early")
     none = F.lit(None)
     return flat.select(
@@ -148,5 +148,5 @@ def as_claims(flat: DataFrame) -> DataFrame:
         ).alias("grading"),
         none.cast("struct<label:string,previous_claim_id:string,note:string,labeled_by:string>").alias("drift"),
         none.cast("struct<page:string,row:int,timeline_written:boolean,resolved_quality:string>").alias("link"),
-        "origin", F.col("extracted_on").cast("timestamp").alias("extracted_at"),
+        "origin", F.col("extracted_on").cast("timestamp").alias("extracted_at"), *extra,
     )

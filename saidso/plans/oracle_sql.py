@@ -331,7 +331,7 @@ SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(repla
   regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \\t]+', ' ', 'g')), '') AS title
 FROM pages""",
     "sft_export": f"""{BASE}
-SELECT id, concat('Speaker: ', person, chr(10), 'Said: ', said_date, ' in "', source_title, '" ', source_url, chr(10), 'Quote: "', quote, '"', chr(10),
+SELECT id, 'Grade one prediction from the evidence given.' AS brief, concat('Speaker: ', person, chr(10), 'Said: ', said_date, ' in "', source_title, '" ', source_url, chr(10), 'Quote: "', quote, '"', chr(10),
   'Claim (', type, '): ', claim, chr(10), 'Deadline: ', coalesce(CAST(target_date AS VARCHAR), 'none stated'), chr(10),
   'Resolution criteria: order ', claim, ' ships', chr(10), chr(10), 'Evidence:', chr(10), '[1] report ', claim,
   coalesce(' (' || CAST(resolved_on AS VARCHAR) || ')', ''), ' https://news.example.org/', claim, chr(10), '    what happened to order ', claim) AS prompt,

@@ -338,8 +338,8 @@ def page_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def sft_export(spark: SparkSession, sf: str) -> DataFrame:
-    t = TR.training_lines(ledger(spark, sf))
-    return t.select("id", F.get_json_object("value", "$.messages[1].content").alias("prompt"), F.get_json_object("value", "$.messages[2].content").alias("answer"))
+    t = TR.training_lines(ledger(spark, sf), "Grade one prediction from the evidence given.")
+    return t.select("id", *(F.get_json_object("value", f"$.messages[{i}].content").alias(c) for i, c in enumerate(("brief", "prompt", "answer"))))
 
 
 @query
@@ -613,7 +613,7 @@ def live_drift(spark: SparkSession, sf: str) -> DataFrame:
 def live_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """The ledger arriving as a stream, merged into a versioned ledger that starts empty."""
     root = scratch(spark)
-    stream = project(_live(spark, sf, "orders"), LEDGER_COLUMNS)
-    claims = as_claims(stream)
+    stream = project(_live(spark, sf, "orders"), LEDGER_COLUMNS | {"ordinal": "o_orderkey"})
+    claims = as_claims(stream, "ordinal")
     ST.live_upsert(claims, root, f"{root}/state").awaitTermination()
     return LF.read_ledger(spark, root).select("id", "person_slug", "said_date", "verdict", "origin")

@@ -8,14 +8,6 @@ from pyspark.sql import functions as F
 from saidso.functions.dates import iso
 from saidso.schemas import OUTCOME_VERDICTS
 
-# The grader's system message (fixed value).
-GRADER_BRIEF = """You grade one public prediction for a neutral track record of public statements, using only the evidence provided.
-Verdicts: correct (it happened by the deadline), incorrect (it did not, or the opposite happened), partial (materially mixed: a substantial part happened and a substantial part did not), unresolvable (too vague, or the evidence is inadequate or conflicting).
-The speaker's own later claims of success are not evidence. Prefer evidence dated after the deadline. Never speculate beyond the evidence.
-Reply with JSON only: {"verdict": "...", "confidence": 0-1, "rationale": "1-3 neutral sentences with dates and numbers", "resolvedOn": "YYYY-MM-DD" or null}.
-resolvedOn is the date the outcome actually happened, even if after the deadline."""
-
-
 def exportable() -> Column:
     g = F.col("grading")
     return (
@@ -47,8 +39,8 @@ def grader_input() -> Column:
     return F.array_join(F.concat(head, evidence), "\n")
 
 
-def training_lines(claims: DataFrame) -> DataFrame:
-    """(person_slug, said_date, id, value): one JSON chat per exportable claim."""
+def training_lines(claims: DataFrame, brief: str) -> DataFrame:
+    """(person_slug, said_date, id, value): one JSON chat per exportable claim, after the system message `brief`."""
     answer = F.to_json(
         F.struct(
             F.col("grading.verdict").alias("verdict"), F.col("grading.confidence").alias("confidence"), F.col("grading.rationale").alias("rationale"),
@@ -61,12 +53,12 @@ def training_lines(claims: DataFrame) -> DataFrame:
         return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
     chat = F.struct(
-        F.array(message("system", F.lit(GRADER_BRIEF)), message("user", grader_input()), message("assistant", answer)).alias("messages")
+        F.array(message("system", F.lit(brief)), message("user", grader_input()), message("assistant", answer)).alias("messages")
     )
     return claims.where(exportable()).select("person_slug", "said_date", "id", F.to_json(chat).alias("value"))
 
 
-def write_training_lines(claims: DataFrame, path: str) -> None:
+def write_training_lines(claims: DataFrame, path: str, brief: str) -> None:
     """JSON lines in ledger order: range-partitioned by (person, day, id), so file order is ledger order."""
-    lines = training_lines(claims).orderBy("person_slug", "said_date", "id")
+    lines = training_lines(claims, brief).orderBy("person_slug", "said_date", "id")
     lines.select("value").write.mode("overwrite").text(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,16 +17,18 @@ from saidso.sources.ledger_files import read_ledger, write_claims
 
 
 def live_upsert(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Merge every micro-batch of claims into the versioned ledger under `root`.
+    """Merge every micro-batch of claims into the versioned ledger under `root`; one writer at a time.
 
-    A batch replayed after a failure merges to the same ledger, since the upsert is idempotent.
+    The stream's `ordinal` says which of two claims came first. With it, a batch replayed after a failure merges to the
+    same ledger, since the upsert is idempotent and its order does not depend on how the batch was read.
     """
+    if "ordinal" not in stream.columns:
+        raise ValueError("the stream needs a column `ordinal` that orders its claims")
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         held = read_ledger(spark, root)
-        numbered = batch if "ordinal" in batch.columns else batch.withColumn("ordinal", F.monotonically_increasing_id())
-        write_claims(upsert(held, numbered).drop("change"), root)
+        write_claims(upsert(held, batch).drop("change"), root)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -59,7 +62,10 @@ VOTE_OUT = "claim_id string, verdict string, confidence double, disputed boolean
 
 
 class VotePanel(StatefulProcessor):
-    """Per claim: a verdict at two equal votes; a third judge is asked for when two differ; a timeout is a dispute."""
+    """Per claim: a verdict at two equal votes; a third judge is asked for when two differ; a timeout is a dispute.
+
+    Once decided, a claim keeps one flag, so that late votes change nothing; its votes are dropped.
+    """
 
     def __init__(self, wait_ms: int | None) -> None:
         self.wait_ms = wait_ms
@@ -70,12 +76,12 @@ class VotePanel(StatefulProcessor):
         self.done = handle.getValueState("done", "done boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if self.done.exists():
+            return
         seen = {v[0]: v for v in self.votes.get()} if self.votes.exists() else {}
         for pdf in rows:
             for r in pdf.itertuples(index=False):
                 seen.setdefault(r.judge, (r.judge, r.verdict, float(r.confidence)))
-        if self.done.exists():
-            return
         panel = [seen[j] for j in sorted(seen)]
         self.votes.put(panel)
         out = self._decide(key[0], panel)
@@ -85,6 +91,7 @@ class VotePanel(StatefulProcessor):
             return
         if out[4] is None:
             self.done.update((True,))
+            self.votes.clear()
             if self.wait_ms is not None:
                 for t in list(self.handle.listTimers()):
                     self.handle.deleteTimer(t)
@@ -104,6 +111,7 @@ class VotePanel(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.done.exists():
             self.done.update((True,))
+            self.votes.clear()
             yield pd.DataFrame([(key[0], "unresolvable", 0.5, True, None)], columns=["claim_id", "verdict", "confidence", "disputed", "need_judge"])
 
     def close(self) -> None:
@@ -151,8 +159,9 @@ class ChainDrift(StatefulProcessor):
         if not dirty:
             return
         out = []
+        labels = self._labels(groups)
         for k, g in list(groups.items()):
-            label, previous, shift = self._label(groups, *k)
+            label, previous, shift = labels[k]
             if (label, previous) != (g[3], g[4]):
                 groups[k] = (*g[:3], label, previous)
                 dirty.add(k)
@@ -164,22 +173,27 @@ class ChainDrift(StatefulProcessor):
             yield pd.DataFrame(out, columns=["person_slug", "topic", "said_date", "target_date", "label", "previous_claim_id", "shift_days"])
 
     @staticmethod
-    def _label(groups, said, target):
-        earlier = [(s, t, g) for (s, t), g in groups.items() if s < said]
-        if not earlier:
-            return "first", None, None
-        dated = [e for e in earlier if e[1] is not None]
-        if target is None or not dated:
-            day = max(e[0] for e in earlier)
-            return "reaffirmed", max(e[2][1] for e in earlier if e[0] == day), None
-        day = max(e[0] for e in dated)
-        last = [e for e in dated if e[0] == day]
-        still_open = [(abs(target - t), g[2], t) for _, t, g in last if g[2]]
-        if not still_open:
-            return "reaffirmed", min((abs(target - t), g[0]) for _, t, g in last)[1], None
-        _, prev, was = min(still_open)
-        shift = target - was
-        return ("pushed_later" if shift >= 60 else "pulled_earlier" if shift <= -60 else "reaffirmed"), prev, shift
+    def _labels(groups):
+        """Label, claim compared with and days moved of every (day said, deadline), in one sweep over the days."""
+        days = defaultdict(list)
+        for (said, target), g in groups.items():
+            days[said].append((target, g))
+        out, last_id, last_dated = {}, None, []
+        for said in sorted(days):
+            for target, _ in days[said]:
+                if last_id is None:
+                    out[said, target] = ("first", None, None)
+                elif target is None or not last_dated:
+                    out[said, target] = ("reaffirmed", last_id, None)
+                elif still_open := [(abs(target - t), g[2], t) for t, g in last_dated if g[2]]:
+                    _, previous, was = min(still_open)
+                    shift = target - was
+                    out[said, target] = ("pushed_later" if shift >= 60 else "pulled_earlier" if shift <= -60 else "reaffirmed", previous, shift)
+                else:
+                    out[said, target] = ("reaffirmed", min((abs(target - t), g[0]) for t, g in last_dated)[1], None)
+            last_id = max(g[1] for _, g in days[said])
+            last_dated = [(t, g) for t, g in days[said] if t is not None] or last_dated
+        return out
 
     def close(self) -> None:
         pass
@@ -206,10 +220,13 @@ def stateful_session(spark: SparkSession) -> SparkSession:
 
 
 def run_available(stream: DataFrame, folder: str, mode: str = "update") -> DataFrame:
-    """Process what is there now; every emitted row lands in a table under `folder`, with the batch that emitted it."""
+    """Process what is there now; every emitted row lands in a table under `folder`, with the batch that emitted it.
+
+    A batch has a folder of its own, so one that is replayed replaces what it wrote.
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{folder}/out")
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch_id={batch_id}")
 
     q = stream.writeStream.foreachBatch(save).option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -274,7 +291,7 @@ RECHECK_OUT = "slug string, due_at timestamp"
 
 
 class RecheckTimer(StatefulProcessor):
-    """Per followed person: due when `every` has passed since the last check."""
+    """Per followed person: due when `every` has passed since the last check, and again after each further `every` without one."""
 
     def __init__(self, every_ms: int) -> None:
         self.every_ms = every_ms
@@ -295,11 +312,13 @@ class RecheckTimer(StatefulProcessor):
         now, due = timerValues.getCurrentProcessingTimeInMs(), checked + self.every_ms
         if due <= now:
             yield self._row(key, due)
-        else:
-            self.handle.registerTimer(due)
+        # The next cycle that has not begun.
+        self.handle.registerTimer(due if due > now else due + (now - due) // self.every_ms * self.every_ms + self.every_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._row(key, expiredTimerInfo.getExpiryTimeInMs())
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        self.handle.registerTimer(due + self.every_ms)
+        yield self._row(key, due)
 
     @staticmethod
     def _row(key, due_ms: int) -> pd.DataFrame:

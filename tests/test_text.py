@@ -142,6 +142,11 @@ def test_numeric_hosts_and_long_words(spark):
     assert spark.createDataFrame([(f"{long}-b",)], "t string").select(topic_label(F.col("t")).alias("l")).first().l == f"A{long[1:]} b"
 
 
+def test_long_caption_files_take_linear_time(spark):
+    lines = spark.range(200_000).select(F.lit("a").alias("file"), F.col("id").alias("no"), F.col("id").cast("double").alias("start"), F.lit(None).cast("string").alias("speaker"), F.concat(F.lit("line "), F.floor(F.col("id") / 2)).alias("text"))
+    assert CP.drop_rolling(lines).count() == 100_000
+
+
 def test_files_of_unknown_shape_are_named(spark):
     files = [("a.json", '{"segments":[{"start":"1","text":"hi"}]}'), ("b.json", '{"foo":1}'), ("c.json", "no json"), ("d.json", '[{"start":"2","text":"yo"}]'), ("e.srt", "1\n00:00:01,000 --> 00:00:02,000\nhello\n"), ("f.txt", "Ann: one")]
     segments, unread = CP.route_segments(spark.createDataFrame(files, "file string, content string"))
