@@ -6,7 +6,7 @@ give each node the chance that it belongs to the main text. Decoding picks, over
 set of kept nodes of which every ancestor is kept too, so an advert inside an article goes, and nothing inside a dropped
 sidebar stays.
 
-The trees are trained on at most SAMPLE pages of the table, those with the smallest hashes and at most LONGEST characters,
+The trees are trained on the SAMPLE pages of the table with the smallest hashes, but those above LONGEST characters,
 whose nodes are labelled by what HTML itself says (article, nav, aside, class words), and on pages composed from their
 texts with parts of known kind, some without telling names. Extraction covers every page, whole, one batch at a time.
 
@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from saidso.llm.sampling import smallest_hashes
+
 #: Pages that the trees are trained on, and the longest of them.
 SAMPLE, LONGEST = 300, 100_000
 #: Pages composed of the sample's texts.
@@ -379,8 +381,7 @@ def train(pages: list[str], count: int = COMPOSED) -> Trees:
 
 def fit(pages: DataFrame, html: str = "html", key: str = "url", sample: int = SAMPLE) -> Trees:
     """Trees fitted on the `sample` pages with the smallest hashes; only these come to the driver."""
-    short = pages.select(key, html).where(F.length(html).between(1, LONGEST))
-    chosen = short.withColumn("_h", F.xxhash64(key, F.length(html))).orderBy("_h", key).limit(sample)
+    chosen = smallest_hashes(pages.select(key, html), sample, key).where(F.length(html).between(1, LONGEST))
     return train([r[html] for r in chosen.collect()])
 
 

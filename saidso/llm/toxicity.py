@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from saidso.llm.sampling import smallest_hashes
 from saidso.session import materialize
 
 BITS = 20
@@ -79,7 +80,7 @@ def held_out(doc_id: Column) -> Column:
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """text and toxic (0 or 1) of at most `sample` ids outside the held-out fold."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"))
-    chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    chosen = smallest_hashes(materialize(known), sample, "_id")
     # At most `sample` ids and labels.
     return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", F.col("_toxic").alias("toxic"))
 
