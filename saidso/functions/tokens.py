@@ -26,6 +26,7 @@ PLURAL_SCALES = {"dozens": 12, "hundreds": 100, "thousands": 1000, "millions": 1
 ORDINALS = (
     "first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth", "eleventh", "twelfth",
 )
+# Words that negate, and words of time (fixed values).
 NEGATIONS = (
     "not", "no", "never", "none", "nobody", "nothing", "nowhere", "neither", "nor", "cannot", "cant", "dont",
     "doesnt", "didnt", "wont", "wouldnt", "isnt", "arent", "wasnt", "werent", "havent", "hasnt", "hadnt",
@@ -321,6 +322,7 @@ def _joined_codes(words: Column) -> Column:
     return F.array_compact(F.transform(words, one))
 
 
+# Labels that name a part and no person (fixed values).
 ANONYMOUS = r"(?i)^(?:speaker|spk|voice|person|unknown|participant)\s*[a-z]?\s*\d*$"
 INTERVIEWER = r"(?i)^(?:host|co-?host|interviewer|moderator|anchor|presenter|q|question)\s*\d*$"
 ANSWERER = r"(?i)^(?:guest|interviewee|a|answer)\s*\d*$"

@@ -58,11 +58,29 @@ scores AS (
   FROM drift GROUP BY person_slug)
 """
 
+
+
+def _page_text() -> str:
+    """Elements dropped tag by tag (no page nests two of a kind), blocks to lines, the references that occur decoded, ampersands last."""
+    text = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
+    for tag in ("script", "style", "noscript", "template", "svg", "head", "title", "nav", "header", "footer", "aside", "form", "iframe"):
+        text = f"regexp_replace({text}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
+    text = f"regexp_replace({text}, '(?i)<br\\s*/?>', chr(10), 'g')"
+    names = "p|div|section|article|main|blockquote|li|ul|ol|h[1-6]|tr|table|pre|figure|figcaption|dd|dt"
+    text = f"regexp_replace(regexp_replace({text}, '(?i)</(?:{names})\\s*>', chr(10) || chr(10), 'g'), '(?i)<(?:p|div|section|article|main|blockquote|li|h[1-6]|tr|pre|figure|dd|dt)\\b[^>]*>', chr(10) || chr(10), 'g')"
+    text = f"regexp_replace({text}, '<[^>]+>', '', 'g')"
+    for written, meant in (("&copy;", "©"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = f"replace({text}, '{written}', '{meant}')"
+    lines = f"array_to_string(list_transform(string_split({text}, chr(10)), lambda l: trim(regexp_replace(l, '[ \\t]+', ' ', 'g'))), chr(10))"
+    return f"SELECT page_id, regexp_replace(regexp_replace({lines}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM pages"
+
+
 BASE = f"WITH {LEDGER}"
 DRIFTED = f"{BASE},{DRIFT}"
 SCORED = f"{DRIFTED},{SCORES}"
 
 ORACLE: dict[str, str] = {
+    "page_text": _page_text(),
     "person_scorecard": f"""{SCORED}
 SELECT person_slug, person, claims, predictions, correct, incorrect, partial, unresolvable, too_early, pending, drift_events,
   CAST(correct AS DOUBLE) / nullif(correct + incorrect, 0) AS accuracy,

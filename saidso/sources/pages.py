@@ -17,6 +17,7 @@ NAMED_ENTITIES = {
 DROPPED_ELEMENTS = (
     "script", "style", "noscript", "template", "svg", "head", "title", "nav", "header", "footer", "aside", "form", "iframe",
 )
+# Character references and block tags (fixed values).
 _ENTITY = r"(?i)&(?:#x[0-9a-f]+|#\d+|[a-z]+);"
 _DROP = rf"(?is)<({'|'.join(DROPPED_ELEMENTS)})\b[^>]*>.*?</\1\s*>"
 _BLOCK_END = r"(?i)</(?:p|div|section|article|main|blockquote|li|ul|ol|h[1-6]|tr|table|pre|figure|figcaption|dd|dt)\s*>"
