@@ -18,10 +18,13 @@ from saidso.functions import urls as U
 from saidso.operators import appearances as A
 from saidso.operators import drift as D
 from saidso.operators import sync as Y
+from saidso.operators import votes as V
 from saidso.plans.driver_tables import ledger, table
 from saidso.plans.oracle_sql import LEDGER
+from saidso.session import scratch
 from saidso.sources import captions as CP
 from saidso.sources import ledger_files as LF
+from saidso.streaming import jobs as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -235,3 +238,60 @@ def model_output(spark: SparkSession, sf: str) -> DataFrame:
     good, bad = LF.read_model_output(c.select(_text("ask_answer-", F.lpad(F.hex("conv_id"), 16, "0"), ".json").alias("file"), content.alias("content")), "ask_answer")
     number = F.conv(F.regexp_extract("file", "([0-9A-F]{16})", 1), 16, 10).cast("long").alias("conv_id")
     return good.select(number, F.lit("read").alias("outcome")).unionByName(bad.select(number, F.lit("set aside").alias("outcome")))
+
+
+@query("""
+SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'correct' WHEN 2 THEN 'incorrect' WHEN 3 THEN 'unresolvable' WHEN 4 THEN 'too_early' WHEN 5 THEN 'partial' END AS verdict,
+  CASE WHEN o_orderkey % 6 IN (0, 2, 5) THEN 1 WHEN o_orderkey % 6 IN (3, 4) THEN 0 END AS sources, o_orderkey % 6 = 3 AS disputed, o_orderkey % 6 = 1 AS ungraded,
+  CASE WHEN o_orderkey % 6 IN (0, 2, 5) THEN CAST(o_orderdate AS DATE) + 61 END AS resolved_on, CASE WHEN o_orderkey % 6 IN (0, 2, 5) THEN 2.0::DOUBLE END AS months,
+  CASE o_orderkey % 6 WHEN 1 THEN NULL WHEN 3 THEN 3 WHEN 2 THEN 3 ELSE 2 END AS judges
+FROM orders""")
+def grading_assembly(spark: SparkSession, sf: str) -> DataFrame:
+    """Two or three judges per order: agreed, agreed without a checked source, settled by the third, split three ways, open, partial."""
+    key = F.col("o_orderkey")
+    verdicts = _case(key, 6, F.array(*map(F.lit, ("correct", "correct"))), F.array(*map(F.lit, ("incorrect", "incorrect"))), F.array(*map(F.lit, ("correct", "incorrect", "incorrect"))), F.array(*map(F.lit, ("correct", "incorrect", "partial"))), F.array(*map(F.lit, ("too_early", "too_early"))), F.array(*map(F.lit, ("partial", "partial"))))
+    orders = table(spark, sf, "orders")
+    day, url = F.col("o_orderdate").cast("date"), _text("https://news.example.org/a?id=", key)
+    claims = orders.select(key.cast("string").alias("id"), day.alias("target_date"), F.struct(F.lit("https://own.example.org/").alias("url")).alias("source"))
+    votes = orders.select(key, day.alias("day"), F.posexplode(verdicts).alias("i", "verdict"))
+    page = F.struct(url.alias("url"), F.lit("page").alias("title"))
+    found = F.when(key % 6 != 1, F.array(page)).otherwise(F.array().cast("array<struct<url:string,title:string>>"))
+    results = votes.select(
+        key.cast("string").alias("claim_id"), F.element_at(F.array(*map(F.lit, "ABC")), F.col("i") + 1).alias("judge"), F.lit("m").alias("model"), "verdict", F.lit(0.8).alias("confidence"), F.lit("It came out so.").alias("rationale"),
+        F.when(~F.col("verdict").isin("too_early"), F.date_add("day", 61).cast("string")).alias("resolved_on"),
+        F.array(F.struct(_text(url, "#top").alias("url"), F.lit("title").alias("title"), F.date_add("day", 61).cast("string").alias("date"), F.lit("snippet").alias("snippet"))).alias("evidence"),
+        found.alias("citations"), found.alias("searched"),
+    )
+    g = V.grade(claims, results)
+    return g.select(
+        F.col("claim_id").cast("long").alias("id"), "verdict", F.size("grading.evidence").alias("sources"), F.coalesce("grading.disputed", F.lit(False)).alias("disputed"), F.col("ungraded_reason").isNotNull().alias("ungraded"),
+        F.col("grading.resolved_on").alias("resolved_on"), F.col("grading.lateness_months").alias("months"), F.size("grading.judges").alias("judges"),
+    )
+
+
+@query("""
+SELECT CAST(d AS DATE) AS first_day, CAST(d AS DATE) + 30 AS end_day, event_type, count(*) AS n
+FROM events, LATERAL (SELECT unnest(generate_series(date_trunc('day', ts) - INTERVAL 29 DAY, date_trunc('day', ts), INTERVAL 1 DAY)) AS d) GROUP BY ALL""")
+def live_counts_30d(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of the last 30 days by type, for every day, as a stream counts them."""
+    live = ST.stateful_session(spark)
+    events = ST.files_stream(live, sf, table(spark, sf, "events").schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = ST.run_available(ST.new_per_month(events, "ts", "event_type"), scratch(spark))
+    return out.groupBy("first_day", "end_day", "event_type").agg(F.max_by("n", "batch_id").alias("n"))
+
+
+@query("""
+WITH p AS (SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'correct' WHEN 1 THEN 'incorrect' WHEN 2 THEN 'unresolvable' END AS verdict FROM orders)
+SELECT CAST(k AS VARCHAR) AS claim_id, verdict, k % 4 = 2 AS disputed FROM p WHERE verdict IS NOT NULL""")
+def live_votes(spark: SparkSession, sf: str) -> DataFrame:
+    """Votes arriving as a stream: agreed by two, by the third, split three ways, and one vote alone, which decides nothing."""
+    key = F.col("o_orderkey")
+    panels = {0: ("correct", "correct"), 1: ("correct", "incorrect", "incorrect"), 2: ("correct", "incorrect", "partial"), 3: ("correct",)}
+    verdicts = _case(key, 4, *(F.array(*map(F.lit, v)) for v in panels.values()))
+    folder = scratch(spark)
+    rows = table(spark, sf, "orders").select(key.alias("claim_id"), F.posexplode(verdicts).alias("i", "verdict"))
+    rows.select("claim_id", F.element_at(F.array(*map(F.lit, "ABC")), F.col("i") + 1).alias("judge"), "verdict", F.lit(0.9).alias("confidence")).write.parquet(f"{folder}/votes")
+    live = ST.stateful_session(spark)
+    votes = live.readStream.schema("claim_id long, judge string, verdict string, confidence double").parquet(f"{folder}/votes")
+    decided = ST.run_available(ST.live_votes(votes, None), f"{folder}/run").where("verdict IS NOT NULL")
+    return decided.select("claim_id", "verdict", "disputed")
