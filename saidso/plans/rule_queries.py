@@ -17,6 +17,7 @@ from saidso.functions import tokens as T
 from saidso.functions import urls as U
 from saidso.operators import appearances as A
 from saidso.operators import drift as D
+from saidso.operators import extraction as X
 from saidso.operators import sync as Y
 from saidso.operators import votes as V
 from saidso.plans.driver_tables import ledger, table
@@ -295,3 +296,45 @@ def live_votes(spark: SparkSession, sf: str) -> DataFrame:
     votes = live.readStream.schema("claim_id long, judge string, verdict string, confidence double").parquet(f"{folder}/votes")
     decided = ST.run_available(ST.live_votes(votes, None), f"{folder}/run").where("verdict IS NOT NULL")
     return decided.select("claim_id", "verdict", "disputed")
+
+
+def _interviews(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The claims that extraction makes of one interview per customer, and what it drops: by key, a sound candidate, another
+    number, the interviewer's words, too few words, a claim with a number of its own, and no quote."""
+    key = F.col("c_custkey")
+    people = table(spark, sf, "customer")
+    said = _text("We will ship ", key + 100, " delivery robots to Miller next year")
+    line = lambda i, who, text: F.struct(F.lit(i).alias("seg_no"), F.lit(10.0 * i).alias("start"), F.lit(who).alias("speaker"), text.alias("text"))
+    host = line(0, "Sam Host", F.lit("Tell us what you will ship next year and to whom."))
+    lines = F.array(host, line(1, "Dana Founder", F.concat(said, F.lit(", of course."))), line(2, "Dana Founder", F.lit("That is very likely, if you ask me.")))
+    segments = people.select(key.cast("string").alias("transcript_id"), F.inline(lines))
+    quote = _case(key, 6, said, _text("We will ship ", key + 101, " delivery robots to Miller next year"), "Tell us what you will ship next year", "to Miller next year", said, "")
+    claim = F.when(key % 6 == 4, "Acme ships 999999 delivery robots").otherwise(_text("Acme ships ", key + 100, " delivery robots next year"))
+    candidates = people.select(
+        key.cast("string").alias("candidate_id"), key.cast("string").alias("transcript_id"), F.lit(0).alias("ordinal"), F.lit("Dana Founder").alias("speaker"), F.lit("Sam Host").alias("host"), quote.alias("quote"), claim.alias("claim"),
+        F.lit("prediction").alias("type"), F.lit("Delivery Robots").alias("topic"), F.lit("2021-12-31").alias("target_date"), F.lit(False).alias("target_date_inferred"), F.lit("it ships").alias("resolution_criteria"), F.lit("very likely").alias("hedge"), F.lit(9).alias("specificity"),
+    )
+    none = F.lit(None)
+    source = F.struct(F.lit("talk").alias("title"), F.lit("https://www.youtube.com/watch?v=abcdefghijk").alias("url"), F.lit(dt.date(2020, 5, 1)).alias("date"), F.lit("video").alias("kind"), none.cast("double").alias("timestamp_sec"), none.cast("string").alias("deep_link"))
+    return X.extract_claims(candidates, segments, people.select(key.cast("string").alias("transcript_id"), source.alias("source")))
+
+
+@query("""
+SELECT CAST(c_custkey AS VARCHAR) AS transcript_id, 'dana-founder' AS person_slug, concat('We will ship ', c_custkey + 100, ' delivery robots to Miller next year') AS quote, 'delivery-robots' AS topic,
+  DATE '2020-05-01' AS said_date, DATE '2021-12-31' AS target_date, 'very likely' AS hedge, 0.75::DOUBLE AS implied_probability, 5 AS specificity, 'https://www.youtube.com/watch?v=abcdefghijk&t=10s' AS link
+FROM customer WHERE c_custkey % 6 = 0""")
+def extract_claims(spark: SparkSession, sf: str) -> DataFrame:
+    claims, _ = _interviews(spark, sf)
+    return claims.select("transcript_id", "person_slug", "quote", "topic", "said_date", "target_date", "hedge", "implied_probability", "specificity", F.col("source.deep_link").alias("link"))
+
+
+@query("""
+SELECT CAST(c_custkey AS VARCHAR) AS candidate_id, CASE c_custkey % 6
+    WHEN 1 THEN concat('number mismatch: quote has [', c_custkey + 101, '], transcript has [', c_custkey + 100, ']')
+    WHEN 2 THEN 'label' WHEN 3 THEN 'quote is too short to carry a claim (4 words; at least 5 needed)'
+    WHEN 4 THEN 'claim has numbers the quote does not: 999999' ELSE 'missing quote or claim text' END AS reason
+FROM customer WHERE c_custkey % 6 <> 0""")
+def extract_dropped(spark: SparkSession, sf: str) -> DataFrame:
+    """Every dropped candidate with its reason; the wording of a wrong speaker is not compared."""
+    _, dropped = _interviews(spark, sf)
+    return dropped.select("candidate_id", F.when(F.col("candidate_id").cast("long") % 6 == 2, "label").otherwise(F.col("reason")).alias("reason"))
