@@ -25,7 +25,7 @@ HEX = r"[0-9a-f]{24,}"  # runs are maximal, so shorter ones need not be listed t
 STRONG = (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX))
 WEAK = (
     ("identifier", r"""(?i:(?:access_key_id|client_id|account_id|user_name|username|login))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@_.-]{3,}"""),
-    ("bare", r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_.=-])"),
+    ("bare", r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_.=-])"),
     ("endpoint", r"(?i:(?:https?|jdbc:[a-z0-9]+|amqps?|mongodb|redis|ftps?)://)[A-Za-z0-9@:._-]{4,}"),
 )
 KINDS = [k for k, _ in STRONG + WEAK]
