@@ -6,7 +6,7 @@ give each node the chance that it belongs to the main text. Decoding picks, over
 set of kept nodes of which every ancestor is kept too, so an advert inside an article goes, and nothing inside a dropped
 sidebar stays.
 
-The trees are trained on the SAMPLE pages of the table with the smallest hashes, but those above LONGEST characters,
+The trees are trained on the SAMPLE distinct pages (url and html) of 1 to LONGEST characters with the smallest hashes,
 whose nodes are labelled by what HTML itself says (article, nav, aside, class words), and on pages composed from their
 texts with parts of known kind, some without telling names. Extraction covers every page, whole, one batch at a time.
 
@@ -14,7 +14,7 @@ Text is what blocks show: character references decoded, white space inside a blo
 blocks in page order joined by an empty line. Scripts, styles, comments in the markup, form fields and what is not shown
 are never text. Defined results: null or empty html, and pages without main text, give an empty text; unclosed and stray
 tags are read as browsers mostly do; repeated rows are extracted alike; an input column named text is replaced; an
-empty table gives an empty table.
+empty table gives an empty table; where no page can be learned from, the labels by what HTML itself says decide.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saidso.llm.sampling import smallest_hashes
+from saidso.session import materialize
 
 #: Pages that the trees are trained on, and the longest of them.
 SAMPLE, LONGEST = 300, 100_000
@@ -301,6 +302,8 @@ def main_texts(pages: list[str | None], trees: Trees) -> list[str]:
     margins = np.split(trees.margin(np.concatenate(rows)), np.cumsum([len(r) for r in rows])[:-1]) if rows else []
     out = []
     for tree, margin in zip(parsed, margins):
+        if not len(trees.feature):  # no page could be learned from: what HTML itself says decides
+            margin = 2 * labels_of(tree) - 1
         kept = decoded(tree.parents, margin)
         out.append("\n\n".join(body for node, body in tree.runs if kept[node]))
     return out
@@ -380,9 +383,13 @@ def train(pages: list[str], count: int = COMPOSED) -> Trees:
 
 
 def fit(pages: DataFrame, html: str = "html", key: str = "url", sample: int = SAMPLE) -> Trees:
-    """Trees fitted on the `sample` pages with the smallest hashes; only these come to the driver."""
-    chosen = smallest_hashes(pages.select(key, html), sample, key).where(F.length(html).between(1, LONGEST))
-    return train([r[html] for r in chosen.collect()])
+    """Trees fitted on the `sample` distinct pages with the smallest hashes that can be learned from; only these come to the driver."""
+    usable = pages.select(key, html).where(F.length(html).between(1, LONGEST))
+    # Repeated pages count once: candidates are cut by hash, as the sample is, before they are made distinct.
+    hashed = materialize(usable.select(F.xxhash64(key, html).alias("_page")).distinct())
+    few = F.broadcast(smallest_hashes(hashed, sample, "_page"))
+    chosen = usable.withColumn("_page", F.xxhash64(key, html)).join(few, "_page", "left_semi").dropDuplicates(["_page"])
+    return train([r[html] for r in sorted(chosen.collect(), key=lambda r: r["_page"])])
 
 
 def main_text(html: Column, trees: Trees) -> Column:
