@@ -135,7 +135,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id
     read = docs.drop(*(c for c in ("fp", "text_key", "component_id", "_k", "_id") if c not in (doc_id, text)))
     marked = materialize(read.withColumns({"fp": fingerprint(F.col(text)), "text_key": F.xxhash64(text)}).drop(text))
     nodes = materialize(marked.groupBy("fp").agg(F.min(doc_id).alias("_id")))
-    labels = materialize(components(links(nodes.select("fp"), radius)))
+    return labelled(marked, nodes, materialize(components(links(nodes.select("fp"), radius))))
+
+
+def labelled(marked: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """`marked` (fp and more) with component_id: the smallest `_id` of `nodes` (fp, _id) in the component (node, label) of its fp."""
     named = labels.join(nodes, labels["node"] == nodes["fp"]).select("node", "label", "_id")
     # Keys repeated as a hash are dealt out anew, so that a component or fingerprint with many rows can be split.
     smallest = named.groupBy("label").agg(F.min("_id").alias("component_id")).withColumn("_k", F.xxhash64("label"))
@@ -147,7 +151,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of `docs` that stay: of each component the document with the smallest id, one row of it."""
-    grouped = materialize(near_duplicates(docs.select("doc_id", "text"), radius))
+    return first_of(docs, materialize(near_duplicates(docs.select("doc_id", "text"), radius)))
+
+
+def first_of(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The rows of `docs` that stay by `grouped` (doc_id, text_key, fp, component_id): one row of each component's smallest id."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     first = grouped.groupBy(F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).alias("c")).agg(F.min(order).alias("k"))
     stay = first.select(F.col("k.doc_id").alias("__near_id"), F.col("k.text_key").alias("__near_key")).distinct()
