@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from saidso.llm import decontamination, html_extraction, licenses, packing, secret_scans, sharding, simhash, topk, toxicity, url_filters
+from saidso.llm import ann, decontamination, html_extraction, licenses, packing, secret_scans, sharding, simhash, spelling, topk, toxicity, url_filters, whitening
 
 # The URL rules of op4.
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -75,6 +75,20 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(c.alias(n) for n, c in counts.items()), base.alias("base_sha256"), secret_scans.written(F.col("spans")).alias("spans"))
 
 
+def op11_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = table(spark, sf_dir, "embeddings")
+    return ann.nearest(every, every.where("vec_id % 20 = 0"), 20)
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of the pipeline's sequences; corpus_pipeline.run returns their ids too."""
     return corpus_pipeline.run(spark, sf_dir).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -91,6 +105,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_secret_scans": op10_secret_scans,
+    "op11_approximate_neighbours": op11_approximate_neighbours,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_spelling_variants": op13_spelling_variants,
     "pipeline": pipeline,
 }
 
