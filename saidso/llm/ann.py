@@ -9,7 +9,9 @@ A query walks all trees through one queue: it holds the subtrees not entered yet
 the cuts that keep the query out, and each one taken is walked down to its nearest leaf. How many leaves are taken is not
 guessed: for PROBES rows the true neighbours are found by brute force, and the number is the one with which a share RECALL
 of them is reached. Leaves are taken further until they hold more than k rows. All rows of the leaves taken are scored
-exactly, in blocks of a part's rows and the queries there.
+exactly, in blocks of a part's rows and the queries there: first those of the FIRST nearest leaves, then of four times as many,
+and so on. A block reports the k best of each query, but nothing below the kth score that the leaves before have reached, so
+what it reports does not grow with the leaves.
 
 The largest inner product is sought: rows get one more component, so that all have the norm of the longest and the nearest
 by distance is the largest by product. Scores are sums in double precision over the given vectors, always added in the same order.
@@ -42,6 +44,8 @@ LEAF, LEVELS, PART = 512, 12, 2048
 #: Distinct vectors that the cuts are taken from; rows whose neighbours are found by brute force; the share of them to reach.
 SAMPLE, PROBES, RECALL = 1 << 16, 256, 0.95
 NEIGHBOURS = 20
+#: Leaves of a query that are scored before a score is known that others must reach.
+FIRST = 16
 
 OUT = "query_id long, vec_id long, score double"
 
@@ -162,16 +166,14 @@ def _norm(v: str, scale: float) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + (x.cast("double") / scale) * (x.cast("double") / scale)))
 
 
-def _scored(queries: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, columns and exact scores of what may be among the k best of each query, ties included."""
+def _scored(queries: np.ndarray, vectors: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and exact scores of what may be among the k best of each query and reach its floor, ties included."""
     product = queries @ vectors.T
-    if product.shape[1] <= k:
-        row, column = np.nonzero(np.ones(product.shape, bool))
-    else:
-        # What is found quickly is off by the order of adding; that much is allowed for, and the sums are taken again.
-        slack = 1e-12 * np.abs(queries) @ np.abs(vectors).max(axis=0)
-        kth = np.partition(product, product.shape[1] - k, axis=1)[:, -k]
-        row, column = np.nonzero(~(product < (kth - slack)[:, None]))
+    # What is found quickly is off by the order of adding; that much is allowed for, and the sums are taken again.
+    slack = 1e-12 * np.abs(queries) @ np.abs(vectors).max(axis=0)
+    if product.shape[1] > k:
+        floor = np.maximum(floor, np.partition(product, product.shape[1] - k, axis=1)[:, -k])
+    row, column = np.nonzero(~(product < (floor - slack)[:, None]))
     exact = np.concatenate([(queries[row[at : at + 65536]] * vectors[column[at : at + 65536]]).sum(axis=1) for at in range(0, max(len(row), 1), 65536)])
     return row, column, exact
 
@@ -192,7 +194,10 @@ def _block(dim: int, k: int):
         queries = asked["query_id"].to_numpy()
         if not len(queries) or not held.num_rows:
             return _best(queries, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), k)
-        row, column, exact = _scored(_matrix(asked["q"], dim), _matrix(held["v"], dim), k + 1)
+        floor = asked["floor"].to_numpy()
+        row, column, exact = _scored(_matrix(asked["q"], dim), _matrix(held["v"], dim), floor, k + 1)
+        reached = ~(exact < floor[row])
+        row, column, exact = row[reached], column[reached], exact[reached]
         ids = held["ids"].combine_chunks()
         start, flat = np.asarray(ids.offsets), np.asarray(ids.values)
         many = np.diff(start)[column]
@@ -214,7 +219,7 @@ def brute_force(every: DataFrame, asked: DataFrame, dim: int, k: int) -> DataFra
     ids, queries = rows["vec_id"].to_numpy(), _stacked(rows["v"]).reshape(len(rows), dim)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.table({"query_id": ids, "q": pa.FixedSizeListArray.from_arrays(pa.array(queries.ravel()), dim)})
+        table = pa.table({"query_id": ids, "floor": np.full(len(ids), -np.inf), "q": pa.FixedSizeListArray.from_arrays(pa.array(queries.ravel()), dim)})
         for batch in batches:
             yield from _block(dim, k)(table, pa.Table.from_batches([batch])).to_batches()
 
@@ -285,10 +290,21 @@ def _search(forest: Forest, index: DataFrame, asked: DataFrame, dim: int, k: int
     small = F.broadcast(index.sparkSession.createDataFrame([(leaf, int(parts[leaf]), n // PART + 1) for leaf, n in numbers], "leaf long, parts long, turns long"))
     rows = index.select("v", "ids", F.explode("leaves").alias("leaf")).join(small, "leaf")
     rows = rows.select("leaf", F.pmod(F.xxhash64("v"), "parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "v", "ids")
-    asks = visits.select("query_id", "q", F.explode("leaf").alias("leaf")).join(small, "leaf")
-    asks = asks.select("leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("query_id"), "turns").alias("turn"), "query_id", "q")
-    key = ["leaf", "part", "turn"]
-    return asks.groupBy(*key).cogroup(rows.groupBy(*key)).applyInArrow(_block(dim, k), OUT)
+    key, best, done = ["leaf", "part", "turn"], None, 0
+    most = visits.agg(F.max(F.size("leaf"))).first()[0] or 0
+    while best is None or done < most:
+        step = FIRST if best is None else 3 * done
+        asks = visits.select("query_id", "q", F.explode(F.slice("leaf", done + 1, step)).alias("leaf"))
+        none = F.lit(float("-inf"))
+        if best is not None:
+            full = best.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k).drop("n")
+            asks = asks.join(full, "query_id", "left")
+        asks = asks.withColumn("floor", F.coalesce("floor", none) if best is not None else none).join(small, "leaf")
+        asks = asks.select("leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("query_id"), "turns").alias("turn"), "query_id", "q", "floor")
+        found = asks.groupBy(*key).cogroup(rows.groupBy(*key)).applyInArrow(_block(dim, k), OUT)
+        best = materialize(_nearest(found if best is None else found.unionByName(best.drop("rank")), k))
+        done += step
+    return best
 
 
 def nearest(table: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -302,4 +318,4 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, vec_id: s
         forest, index = fit(of_length, dim, size, k)
         part = _search(forest, index, asked, dim, k)
         found = part if found is None else found.unionByName(part)
-    return _nearest(found if found is not None else wanted.sparkSession.createDataFrame([], OUT), k)
+    return found if found is not None else _nearest(wanted.sparkSession.createDataFrame([], OUT), k)
