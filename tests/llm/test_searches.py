@@ -273,16 +273,14 @@ def test_pipeline_stage_by_stage(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == columns
     distinct = corpus_pipeline.distinct_documents(spark, docs, SF).collect()
-    fps = {r.doc_id: plain_fingerprint(r.text) for r in rows}
-    groups = grouped(sorted(fps), [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 3])
-    assert sorted(r.doc_id for r in distinct) == sorted({*groups.values()})
+    assert sorted(r.doc_id for r in distinct) == sorted({*components([(r.doc_id, r.text) for r in rows]).values()})
     leaks = {r.doc_id for r in decontamination.contained(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert leaks and sorted(r.doc_id for r in corpus_pipeline.without_benchmark(spark, docs, SF).collect()) == sorted(r.doc_id for r in rows if r.doc_id not in leaks)
     masked = {r.doc_id: r for r in corpus_pipeline.masked_secrets(spark, docs, SF).collect()}
     hits = {r.doc_id for r in secret_scans.scan_secrets(docs.select("doc_id", "text")).where(F.size("spans") > 0).collect()}
     assert all(("[secret]" in masked[r.doc_id].text) == (r.doc_id in hits) and (r.doc_id in hits or masked[r.doc_id] == r) for r in rows)
-    packed = corpus_pipeline.run(spark, SF).collect()
-    assert {r.doc_id for r in packed} == {r.doc_id for r in distinct} & {r.doc_id for r in clean} - leaks
+    kept = {*components([(r.doc_id, r.text) for r in clean]).values()}
+    assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == kept - leaks
 
 
 def test_pipeline_of_nothing(spark, tmp_path):
