@@ -3,9 +3,12 @@
 import hashlib
 import random
 import re
+import textwrap
+import time
 import zlib
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,6 +173,52 @@ def test_licenses(spark):
     assert L.scan_licenses(docs.limit(0)).count() == 0
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+ISC = "Copyright (c) 2020, Ann Lee\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."
+GPL = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program."""
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
+
+
+def printed(text, width, comment):
+    """A licence as files print it: wrapped, every line behind a comment mark."""
+    lines = [x for line in text.split("\n") for x in (textwrap.wrap(line, width, break_long_words=False, break_on_hyphens=False) or [""])]
+    opened, mark, closed = {"": ("", "", ""), "#": ("", "# ", ""), "//": ("", "// ", ""), "/*": ("/*\n", " * ", "\n */"), "<!--": ("<!-- ", "", " -->")}[comment]
+    return "some code\n\n" + opened + "\n".join((mark + x).rstrip() for x in lines) + closed + "\n\nmore code"
+
+
+@pytest.mark.parametrize("width", [40, 72, 79])
+def test_licenses_as_files_print_them(spark, width):
+    texts = {"MIT": MIT, "Apache-2.0": APACHE, "BSD-3-Clause": BSD, "ISC": ISC, "GPL-2.0-or-later": GPL, "MPL-2.0": MPL}
+    rows = [(i, printed(t, width, c), name) for i, ((name, t), c) in enumerate((x, c) for x in texts.items() for c in ("", "#", "//", "/*", "<!--"))]
+    rows.append((len(rows), "Title\r\nLicensed under CC BY 4.0\r\nby us all", "CC-BY-4.0"))
+    docs = spark.createDataFrame(rows, DOCS + ", want string")
+    assert [(r.doc_id, r.licenses, r.unmatched) for r in L.scan_licenses(docs).orderBy("doc_id").collect()] == [(i, [want], []) for i, _, want in rows]
+    duckdb.sql("CREATE OR REPLACE TEMP TABLE printed(doc_id BIGINT, text VARCHAR)")
+    duckdb.executemany("INSERT INTO printed VALUES (?, ?)", [(i, t) for i, t, _ in rows])
+    assert sorted((i, licenses) for i, _, licenses, _ in duckdb.sql(L.duckdb_sql("printed")).fetchall()) == [(i, want) for i, _, want in rows]
+
+
 def test_every_license_sentence_is_normal_and_cued():
     cue = re.compile(L.cue_pattern())
     for s in L.SENTENCES:
@@ -220,3 +269,46 @@ def test_leaks_leave(spark):
     docs = spark.createDataFrame([(1, "x one two three four five six seven y", 1), (2, "one two three", 2), (2, "one two three", 2), (None, None, 3), (None, "One, two three four five six seven", 4)], DOCS + ", __key int")
     assert sorted((r.doc_id or -1, r["__key"]) for r in D.without_leaks(docs, items).collect()) == [(-1, 3), (2, 2), (2, 2)]
     assert D.without_leaks(docs, items.limit(0)).count() == 5 and D.without_leaks(docs.limit(0), items).count() == 0
+
+
+# ---- Awkward shapes ---------------------------------------------------------------
+
+
+def test_secret_scopes_follow_the_text(spark):
+    far = "# a comment that goes on and on\n" * 40
+    cases = [
+        (f"[prod]\nclient_id=web-1\n{far}secret_part {BARE}\n\n[test]\nname = x", ["bare", "identifier"]),  # one block, however long
+        (f"intro\n\nclient_id=web-1\n\n{far}\n{BARE}", []),  # other blocks, far apart
+        (f"client_id=web-1 {'pad ' * 150}{BARE}", []),  # no borders: the distance decides
+        (f"a\n\nclient_id=web-1\n\n{BARE}", ["bare", "identifier"]),  # across a border, close
+        (f"```\nlogin: ann\n{far}{BARE}\n```", ["bare", "identifier"]),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], DOCS)
+    assert [(r.doc_id, sorted(x["kind"] for x in r.spans)) for r in S.scan_secrets(docs).orderBy("doc_id").collect()] == [(i, want) for i, (_, want) in enumerate(cases)]
+
+
+def test_a_dump_of_secrets_is_scanned_in_linear_time(spark):
+    text = "\n".join(f"{i:08x}" * 4 for i in range(50_000)) + "\n\nclient_id=web-1\n" + BARE
+    began = time.monotonic()
+    row = S.scan_secrets(spark.createDataFrame([(1, text)], DOCS)).select(S.written(F.col("strong")).alias("base"), F.size("spans").alias("n")).first()
+    assert time.monotonic() - began < 60
+    assert row.base == ",".join(base_spans(text)) and row.n == 50_002
+
+
+def test_equal_records_go_to_all_shards(spark):
+    rows = [(7, "same text of all")] * 3000 + [(i, "x" * 20) for i in range(6000)]
+    got = H.shard_documents(spark.createDataFrame(rows, DOCS).repartition(4), 8).collect()
+    loads = Counter()
+    for r in got:
+        loads[r.shard] += r["size"]
+    assert len(got) == 9000 and max(loads.values()) - min(loads.values()) < 0.05 * sum(loads.values()) / 8
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got))) for s in range(8))
+
+
+def test_shards_follow_a_stored_map(spark):
+    docs, folder = spark.createDataFrame([(i, "x" * (i * 37 % 500)) for i in range(1500)], DOCS), scratch(spark)
+    first = {r.doc_id: (r.shard, r.next_shard) for r in H.shard_by_map(docs, folder, 4).collect()}
+    assert {n for _, n in first.values()} == set(range(5)) and all(n in (s, 4) for s, n in first.values())
+    again = {r.doc_id: r.shard for r in H.shard_by_map(docs, folder, 4).collect()}  # the newest version is the edited one
+    assert again == {d: n for d, (_, n) in first.items()}
+    assert H.shard_by_map(docs.limit(0), scratch(spark), 4).count() == 0
