@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from saidso.llm import ann, decontamination, html_extraction, licenses, packing, secret_scans, sharding, simhash, spelling, topk, toxicity, url_filters, whitening
+from saidso.session import scratch
 
 # The URL rules of op4.
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -64,8 +65,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), 8)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    placed = sharding.shard_by_map(table(spark, sf_dir, "documents").select("doc_id", "text"), scratch(spark), 8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "next_shard")
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

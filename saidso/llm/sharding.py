@@ -9,24 +9,38 @@ Memory does not grow with the input: the map has one row per slot, whatever the
 that one task sees whole. Numbers within a shard come from counts per slot and a number within the slot.
 
 Defined results: a null text has size 1 (no bytes, plus one) and the CRC of nothing, 0; null ids are records like any
-other; repeated rows are separate records that share a slot; an empty table gives an empty table.
+other; repeated rows are separate records; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from saidso.session import materialize
 
 SLOTS = 4096
+#: Records of one id and text that stay in one slot.
+COPIES = 16
 
 
-def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size (UTF-8 bytes plus one), text_crc32 and virtual slot of every record."""
+def sized(docs: DataFrame, slots: int = SLOTS, copies: int = COPIES) -> DataFrame:
+    """doc_id, size (UTF-8 bytes plus one), text_crc32 and virtual slot of every record, written once.
+
+    Records of one id and text lie in one slot, unless there are more than `copies` of them: those are numbered where they are
+    read and hash with their numbers, so they go over all slots.
+    """
     crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
     sizes = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"), crc.alias("text_crc32"))
-    return sizes.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
+    # The numbers are those of this one pass over the input, so it is written before anything is counted.
+    sizes = materialize(sizes.withColumn("_row", F.monotonically_increasing_id()))
+    again = sizes.groupBy("doc_id", "text_crc32").agg(F.count("*").alias("n")).where(F.col("n") > copies)
+    again = materialize(again.select(F.xxhash64("doc_id", "text_crc32").alias("_pair")).distinct())
+    pair = F.xxhash64("doc_id", "text_crc32")
+    marked = sizes.withColumn("_pair", pair).join(again.withColumn("_many", F.lit(True)), "_pair", "left")
+    salted = F.when(F.col("_many"), F.xxhash64("_pair", "_row")).otherwise(F.col("_pair"))
+    return materialize(marked.select("doc_id", "size", "text_crc32", F.pmod(salted, F.lit(slots)).cast("int").alias("vslot")))
 
 
 def slot_loads(records: DataFrame) -> DataFrame:
@@ -103,5 +117,30 @@ def placed(records: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def shard_documents(docs: DataFrame, shards: int = 8, slots: int = SLOTS) -> DataFrame:
     """Every record with size, text_crc32, vslot, shard and slot, under a fresh map."""
-    records = materialize(sized(docs, slots))
+    records = sized(docs, slots)
     return placed(records, first_map(slot_loads(records), shards))
+
+
+def shard_by_map(docs: DataFrame, folder: str, shards: int = 8, slots: int = SLOTS) -> DataFrame:
+    """`shard_documents` under the map kept in `folder`, with `next_shard`, where a record goes when one shard is added.
+
+    A map that is there is used as it is; else version 1 is made for these records. The edited map is saved as the version after.
+    """
+    spark = docs.sparkSession
+    records = sized(docs, slots)
+    loads = materialize(slot_loads(records))
+    try:
+        current = load_map(spark, folder)
+    except AnalysisException as err:
+        if "PATH_NOT_FOUND" not in str(err):
+            raise
+        made = materialize(first_map(loads, shards))
+        if made.isEmpty():
+            return placed(records, made).withColumn("next_shard", F.col("shard"))
+        save_map(made, folder)
+        current = load_map(spark, folder)
+    current = materialize(current)
+    save_map(rebalanced(current, loads, shards + 1), folder)
+    grown = load_map(spark, folder).select("vslot", F.col("shard").alias("next_shard"))
+    # One row per slot.
+    return placed(records, current).join(F.broadcast(grown), "vslot", "left")
