@@ -78,11 +78,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """text and toxic (0 or 1) of at most `sample` ids outside the held-out fold."""
+    """text and toxic (0 or 1) of at most `sample` ids outside the held-out fold, one row of each id."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"))
     chosen = smallest_hashes(materialize(known), sample, "_id")
     # At most `sample` ids and labels.
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", F.col("_toxic").alias("toxic"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    return rows.groupBy("_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("_toxic").alias("toxic")).drop("_id")
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
