@@ -22,6 +22,8 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -87,9 +89,13 @@ def parse(page: str) -> Tree:
     tree = Tree()
     node = tree.add("html", -1, "")
     opened: list[tuple[str, int]] = [("html", node)]  # every open element and the block it stands in
+    # Where each tag, and any block, is open, so that no step looks through the open elements.
+    places: dict[str, list[int]] = defaultdict(list)
+    blocks = [0]
     hidden = links = 0
     pieces: list[str] = []
-    at = 0
+    # Behind the last bracket nothing ends a tag.
+    at, reach = 0, page.rfind(">") + 1
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(pieces)).split()) if pieces else ""
@@ -102,15 +108,17 @@ def parse(page: str) -> Tree:
         nonlocal node, hidden, links
         for _ in range(count):
             tag, _ = opened.pop()
+            places[tag].pop()
             if tag in BLOCKS:
+                blocks.pop()
                 flush()
             hidden -= tag in HIDDEN
             links -= tag == "a"
             node = opened[-1][1] if opened else 0
 
     while at < len(page):
-        found = TOKEN.search(page, at)
-        data = page[at : found.start() if found else len(page)]
+        found = TOKEN.search(page, at, reach)
+        data = page[at : found.start()] if found else page[at:].partition("<!--")[0]
         if data and not hidden:
             pieces.append(data)
             if links:
@@ -118,14 +126,15 @@ def parse(page: str) -> Tree:
         if not found:
             break
         at = found.end()
+        if found[0].startswith("<!--") and not found[0].endswith("-->"):
+            break  # a comment that nobody closed
         closing, tag, attributes = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
         if not tag:
             continue
         tag = tag.lower()
         if closing:
-            depth = next((i for i in range(len(opened) - 1, 0, -1) if opened[i][0] == tag), 0)
-            if depth:
-                leave(len(opened) - depth)
+            if tag != "html" and places[tag]:
+                leave(len(opened) - places[tag][-1])
             continue
         if tag in VOID:
             if tag == "br":
@@ -136,19 +145,20 @@ def parse(page: str) -> Tree:
                 tree.controls[node] += 1
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at, reach)
             at = end.end() if end else len(page)
             tree.controls[node] += tag == "textarea"
             continue
-        if tag in ("html", "body") and any(t == tag for t, _ in opened):
+        if tag == "html" or (tag == "body" and places[tag]):
             continue
         if tag in BLOCKS:
-            paragraph = next((i for i in range(len(opened) - 1, 0, -1) if opened[i][0] in BLOCKS), 0)
-            if opened[paragraph][0] == "p" and paragraph:
-                leave(len(opened) - paragraph)
+            if opened[blocks[-1]][0] == "p":
+                leave(len(opened) - blocks[-1])
             if tag in CLOSES:
-                fence = next((i for i in range(len(opened) - 1, -1, -1) if opened[i][0] in FENCES[tag]), 0)
-                same = next((i for i in range(fence + 1, len(opened)) if opened[i][0] in CLOSES[tag]), 0)
+                fence = max((places[f][-1] for f in FENCES[tag] if places[f]), default=0)
+                # The first of these inside the fence: of each kind the list is sorted.
+                after = ((places[c], bisect_right(places[c], fence)) for c in CLOSES[tag])
+                same = min((where[i] for where, i in after if i < len(where)), default=0)
                 if same:
                     leave(len(opened) - same)
             if tag == "body" and hidden:
@@ -162,6 +172,9 @@ def parse(page: str) -> Tree:
         hidden += tag in HIDDEN
         links += tag == "a"
         if not attributes.endswith("/") or tag in BLOCKS:
+            places[tag].append(len(opened))
+            if tag in BLOCKS:
+                blocks.append(len(opened))
             opened.append((tag, node))
         else:
             hidden -= tag in HIDDEN
