@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from saidso.functions.dates import calendar_date, iso
 from saidso.functions.hedge import claim_probability
 from saidso.functions.ids import claim_id, slugify
 from saidso.functions.urls import deep_link
+from saidso.operators.layout import in_order
 from saidso.operators.quotes import verify_quotes
 from saidso.session import materialize
 
@@ -185,6 +187,8 @@ def extract_claims(candidates: DataFrame, segments: DataFrame, sources: DataFram
 # ---- Near-duplicates -------------------------------------------------------------
 
 RUN_ROWS = 4096
+#: Rows of a component that one task settles.
+PART_ROWS = 20_000
 
 
 def _similar(a: Column, b: Column) -> Column:
@@ -251,29 +255,78 @@ def _collapse_runs(rows: DataFrame, rounds: int = 2) -> DataFrame:
     return rows
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The kept rows of one component, in seen order: the more specific of two duplicates, ties to the first."""
-    kept: list[tuple[int, int]] = []
-    rows = pdf.sort_values("ordinal")
-    words = [frozenset(w) for w in rows["words"]]
-    block, ids, spec, ordinal = (list(rows[c]) for c in ("block_key", "id", "specificity", "ordinal"))
+SLOT = "place long, ordinal long, variant string, id string, specificity int"
 
-    def same(i: int, j: int) -> bool:
-        if ids[i] == ids[j]:
-            return True
-        if block[i] != block[j]:
-            return False
-        shared = len(words[i] & words[j])
-        union = len(words[i]) + len(words[j]) - shared
-        return union == 0 or shared / union >= NEAR_DUPLICATE
 
-    for i in range(len(words)):
-        at = next((n for n, (k, _) in enumerate(kept) if same(k, i)), None)
-        if at is None:
-            kept.append((i, ordinal[i]))
-        elif spec[i] > spec[kept[at][0]]:
-            kept[at] = (i, kept[at][1])
-    return pd.DataFrame({"ordinal": [ordinal[i] for i, _ in kept], "place": [p for _, p in kept]})
+def _seated(rows: pd.DataFrame, slots: pd.DataFrame) -> pd.DataFrame:
+    """The slots that a part of a component opens or fills anew. `rows`: ordinal, variant, id, specificity, alike; `slots`: those that a row here may match."""
+    holders: dict[str, set[int]] = defaultdict(set)
+    now = {}
+
+    def seat(place: int, row: tuple) -> None:
+        if place in now:
+            for key in now[place][1:3]:
+                holders[key].discard(place)
+        now[place] = row
+        for key in row[1:3]:
+            holders[key].add(place)
+
+    for place, *row in slots.sort_values("place").itertuples(index=False):
+        seat(place, tuple(row))
+    given = dict(now)
+    for row, alike in zip(rows[["ordinal", "variant", "id", "specificity"]].itertuples(index=False, name=None), rows["alike"]):
+        matched = [p for key in (*alike, row[1], row[2]) for p in holders.get(key, ())]
+        if not matched:
+            seat(row[0], row)
+        elif row[3] > now[min(matched)][3]:
+            seat(min(matched), row)
+    changed = [(place, *row) for place, row in now.items() if given.get(place) != row]
+    return pd.DataFrame(changed, columns=["place", "ordinal", "variant", "id", "specificity"])
+
+
+def settle_components(rows: DataFrame, near: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """(ordinal, place) of the rows that stay: in seen order, the more specific of two duplicates, ties to the first.
+
+    `rows`: component, ordinal, variant, id, specificity; `near`: pairs (a, b) of similar variants. A component is taken in
+    parts of bounded size, the same part of all components in one round; what a part needs to know of earlier ones is which
+    slots its rows may match, and those come by a join on the wording or id that holds them now.
+    """
+    both = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    alike = both.groupBy(F.col("a").alias("variant")).agg(F.collect_list("b").alias("alike"))
+    slim = rows.select("component", F.col("ordinal").cast("long").alias("ordinal"), "variant", "id", "specificity")
+    ranked = in_order(slim, ["component"], "ordinal", running={"rank": F.lit(1)})
+    ranked = ranked.join(alike, "variant", "left").withColumn("alike", F.coalesce("alike", F.array().cast("array<string>")))
+    ranked = materialize(ranked.withColumn("part", F.floor(F.col("rank") / part_rows)).drop("rank"))
+    last = ranked.groupBy("component").agg(F.max("part").alias("last"))
+    last = materialize(last)
+    rounds = (last.agg(F.max("last")).first()[0] or 0) + 1
+    spark, done = rows.sparkSession, None
+    slots = spark.createDataFrame([], f"component {rows.schema['component'].dataType.simpleString()}, {SLOT}")
+    columns = slots.columns
+    for turn in range(rounds):
+        now = ranked.where(F.col("part") == turn).drop("part")
+        asks = now.select("component", F.explode(F.concat(F.col("alike"), F.array("variant", "id"))).alias("key")).distinct()
+        held = slots.withColumn("key", F.explode(F.array("variant", "id")))
+        near_slots = held.join(asks, ["component", "key"], "left_semi").select(*columns).distinct()
+        turned = now.groupBy("component").cogroup(near_slots.groupBy("component")).applyInPandas(_numbered, f"component {slots.schema['component'].dataType.simpleString()}, {SLOT}")
+        turned = materialize(turned)
+        slots = slots.join(turned.select("component", "place"), ["component", "place"], "left_anti").select(*columns).unionByName(turned.select(*columns))
+        ended = slots.join(last.where(F.col("last") <= turn), "component", "left_semi")
+        if turn + 1 == rounds:
+            ended = slots
+        ended = materialize(ended.select("ordinal", "place"))
+        done = ended if done is None else done.unionByName(ended)
+        if turn + 1 < rounds:
+            slots = materialize(slots.join(last.where(F.col("last") > turn), "component", "left_semi"))
+    return done
+
+
+def _numbered(rows: pd.DataFrame, slots: pd.DataFrame) -> pd.DataFrame:
+    if not len(rows):
+        return pd.DataFrame(columns=["component", "place", "ordinal", "variant", "id", "specificity"])
+    out = _seated(rows.sort_values("ordinal"), slots[["place", "ordinal", "variant", "id", "specificity"]])
+    out.insert(0, "component", rows["component"].iloc[0])
+    return out
 
 
 def dedupe_claims(claims: DataFrame, scope: tuple[str, ...] = ("transcript_id",)) -> DataFrame:
@@ -299,7 +352,7 @@ def dedupe_claims(claims: DataFrame, scope: tuple[str, ...] = ("transcript_id",)
         ).withColumn("variant", F.sha2(F.concat_ws("\x01", "block_key", F.array_join("words", " ")), 256))
     )
     variants = base.groupBy("block_key", "variant").agg(F.first("words").alias("words"))
-    near = similar_variants(variants)
+    near = materialize(similar_variants(variants))
     # One id in several blocks ties their variants together, each to the smallest.
     per_id = base.select(*scope, "id", "variant").distinct()
     smallest = per_id.groupBy(*scope, "id").agg(F.min("variant").alias("a"), F.max("variant").alias("z")).where("a <> z").drop("z")
@@ -312,9 +365,9 @@ def dedupe_claims(claims: DataFrame, scope: tuple[str, ...] = ("transcript_id",)
         .agg(F.min(F.struct((-F.col("specificity")).alias("s"), "ordinal"))["ordinal"].alias("ordinal"), F.min("ordinal").alias("place"))
         .select("ordinal", "place")
     )
-    linked = joined.where(F.col("component").isNotNull()).select("component", "block_key", "variant", "id", "specificity", "ordinal", "words")
+    linked = joined.where(F.col("component").isNotNull()).select("component", "variant", "id", "specificity", "ordinal")
     kind = claims.schema["ordinal"].dataType.simpleString()
-    settled = _collapse_runs(linked).groupBy("component").applyInPandas(_greedy, f"ordinal {kind}, place {kind}")
+    settled = settle_components(_collapse_runs(linked), near).select(F.col("ordinal").cast(kind).alias("ordinal"), F.col("place").cast(kind).alias("place"))
     return claims.join(alone.unionByName(settled), "ordinal")
 
 

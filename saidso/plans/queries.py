@@ -31,6 +31,7 @@ from saidso.plans.driver_tables import (
 )
 from saidso.session import materialize, scratch
 from saidso.sources import ledger_files as LF
+from saidso.sources import ledger_store as LS
 from saidso.sources import pages as P
 from saidso.sources import training as TR
 from saidso.streaming import jobs as ST
@@ -611,9 +612,9 @@ def live_drift(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def live_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    """The ledger arriving as a stream, merged into a versioned ledger that starts empty."""
+    """The ledger arriving as a stream, merged into a stored ledger that starts empty."""
     root = scratch(spark)
     stream = project(_live(spark, sf, "orders"), LEDGER_COLUMNS | {"ordinal": "o_orderkey"})
     claims = as_claims(stream, "ordinal")
     ST.live_upsert(claims, root, f"{root}/state").awaitTermination()
-    return LF.read_ledger(spark, root).select("id", "person_slug", "said_date", "verdict", "origin")
+    return LS.read_store(spark, root).select("id", "person_slug", "said_date", "verdict", "origin")

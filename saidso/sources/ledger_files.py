@@ -1,9 +1,7 @@
-"""Ledger files in and out: JSON ledgers, part files, versioned Parquet, the transcript store, episode metadata."""
+"""Ledger files in and out: JSON ledgers, part files, the transcript store, episode metadata."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +10,7 @@ from saidso.functions.dates import calendar_date
 from saidso.functions.ids import claim_id
 from saidso.functions.urls import transcript_key
 from saidso.schemas import CLAIMS
+from saidso.sources.json_arrays import elements
 
 # Ledger JSON as written by the application: camelCase, dates as strings.
 _EV = "array<struct<url:string,title:string,date:string,snippet:string>>"
@@ -54,26 +53,28 @@ def _as_claims(df: DataFrame, raw: Column) -> DataFrame:
 
 
 def read_claims(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON ledger `{"version": 1, "claims": [...]}`; a missing path is an empty ledger, another version fails the job."""
+    """JSON ledgers `{"version": 1, "claims": [...]}`; a missing path is an empty ledger, another version fails the job.
+
+    A file is read by many tasks, so one ledger may be as large as a file system allows.
+    """
     try:
-        files = spark.read.text(path, wholetext=True)
+        found, files = elements(spark, path)
     except AnalysisException as err:
         if "PATH_NOT_FOUND" in str(err):
             return spark.createDataFrame([], CLAIMS)
         raise
-    body = F.from_json("value", "struct<version:int,claims:array<string>>")
-    fine = F.coalesce((body["version"] == 1) & body["claims"].isNotNull(), F.lit(False))
-    claims = F.when(fine, body["claims"]).otherwise(F.raise_error(F.lit('not a version 1 ledger ({ "version": 1, "claims": [...] })')))
-    return _as_claims(files.select(F.explode(claims).alias("_json")), F.col("_json")).drop("_json")
+    ends = F.concat("head", "tail")
+    fine = ~F.col("listed") & ends.rlike(r'"version"\s*:\s*1(?!\d|\.[0-9]*[1-9])') & F.col("head").rlike(r'"claims"\s*:\s*\[')
+    wrong = F.raise_error(F.lit('not a version 1 ledger ({ "version": 1, "claims": [...] })')).cast("boolean")
+    checked = files.join(found, "file", "left").where(F.when(fine, F.col("json").isNotNull()).otherwise(wrong))
+    return _as_claims(checked.select(F.col("json").alias("_json")), F.col("_json")).drop("_json")
 
 
 def read_parts(spark: SparkSession, path: str) -> DataFrame:
     """Every part file of a folder (an object or a bare list), ids recomputed; `part` is the file name and `given_id` the id as shipped."""
-    files = spark.read.text(path, wholetext=True).select("value", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("part"))
-    listed = F.when(F.trim("value").startswith("["), F.from_json("value", "array<string>")).otherwise(
-        F.from_json("value", "struct<claims:array<string>>")["claims"]
-    )
-    c = _as_claims(files.select("part", F.explode(listed).alias("_json")), F.col("_json")).drop("_json")
+    found, _ = elements(spark, path)
+    part = F.element_at(F.split("file", "/"), -1).alias("part")
+    c = _as_claims(found.select(part, F.col("json").alias("_json")), F.col("_json")).drop("_json")
     return c.withColumn("given_id", F.nullif("id", F.lit(""))).withColumn("id", claim_id(F.col("person_slug"), F.col("said_date"), F.col("claim")))
 
 
@@ -82,34 +83,6 @@ def part_problems(parts: DataFrame) -> DataFrame:
     return parts.groupBy("id").agg(F.count("*").alias("copies"), F.sort_array(F.collect_set("part")).alias("parts")).where(F.col("copies") > 1)
 
 
-def write_claims(claims: DataFrame, root: str) -> str:
-    """Write a new version folder in ledger order, then point readers at it with one small append.
-
-    Readers follow the newest pointer, so they never see a half-written version.
-    """
-    version = uuid.uuid4().hex
-    ordered = claims.repartitionByRange("person_slug", "said_date", "id").sortWithinPartitions("person_slug", "said_date", "id")
-    ordered.write.parquet(f"{root}/versions/{version}")
-    spark = claims.sparkSession
-    pointer = spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("written_at"))
-    pointer.coalesce(1).write.mode("append").parquet(f"{root}/pointer")
-    return version
-
-
-def read_ledger(spark: SparkSession, root: str) -> DataFrame:
-    """The newest version under `root`; an absent ledger is empty."""
-    try:
-        pointer = spark.read.schema("version string, written_at timestamp").parquet(f"{root}/pointer")
-        newest = pointer.orderBy(F.col("written_at").desc(), "version").first()
-    except AnalysisException as err:
-        if "PATH_NOT_FOUND" not in str(err):
-            raise
-        newest = None
-    if newest is None:
-        return spark.createDataFrame([], CLAIMS)
-    return spark.read.parquet(f"{root}/versions/{newest['version']}")
-
-
 def write_transcripts(segments: DataFrame, sources: DataFrame, path: str) -> DataFrame:
     """Append the transcripts the store does not hold yet; returns the keys written.
 

@@ -12,23 +12,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from saidso.operators.ledger import upsert
-from saidso.sources.ledger_files import read_ledger, write_claims
+from saidso.sources.ledger_store import BUCKETS, upsert_store
 
 
-def live_upsert(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Merge every micro-batch of claims into the versioned ledger under `root`; one writer at a time.
+def live_upsert(stream: DataFrame, root: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Merge every micro-batch of claims into the ledger under `root`; each rewrites the buckets of its own claims only.
 
     The stream's `ordinal` says which of two claims came first. With it, a batch replayed after a failure merges to the
-    same ledger, since the upsert is idempotent and its order does not depend on how the batch was read.
+    same ledger, since the upsert is idempotent and its order does not depend on how the batch was read. Other writers may
+    work on the same ledger meanwhile.
     """
     if "ordinal" not in stream.columns:
         raise ValueError("the stream needs a column `ordinal` that orders its claims")
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        held = read_ledger(spark, root)
-        write_claims(upsert(held, batch).drop("change"), root)
+        upsert_store(batch, root, buckets=buckets)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

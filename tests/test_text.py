@@ -169,7 +169,7 @@ def test_chunks_cover_the_text(spark):
             assert r.start_sec == text[: r.start_char].count("\n")
 
 
-def test_dedupe_equals_the_greedy_pass(spark):
+def test_dedupe_equals_the_greedy_pass(spark, monkeypatch):
     rng = random.Random(7)
     vocab = [f"w{chr(97 + i)}" for i in range(14)]
     base = [[rng.choice(vocab) for _ in range(10)] for _ in range(4)]
@@ -192,6 +192,16 @@ def test_dedupe_equals_the_greedy_pass(spark):
     df = spark.createDataFrame(rows, "transcript_id string, ordinal int, id string, person_slug string, type string, claim string, specificity int").withColumn("target_date", F.lit(None).cast("date"))
     got = sorted((r.place, r.ordinal) for r in X.dedupe_claims(df).collect())
     assert got == sorted((p, r[1]) for r, p in kept)
+    monkeypatch.setattr(X.settle_components, "__defaults__", (7,))
+    assert sorted((r.place, r.ordinal) for r in X.dedupe_claims(df).collect()) == got
+
+
+def test_a_chain_of_claims_is_settled_in_parts(spark):
+    n = 100_000
+    rows = spark.range(n).select(F.lit("c").alias("component"), F.col("id").alias("ordinal"), F.concat(F.lit("v"), F.col("id")).alias("variant"), F.concat(F.lit("i"), F.col("id")).alias("id"), F.lit(1).alias("specificity"))
+    near = spark.range(1, n).select(F.concat(F.lit("v"), F.col("id") - 1).alias("a"), F.concat(F.lit("v"), F.col("id")).alias("b"))
+    got = X.settle_components(rows, near)
+    assert got.where("ordinal <> place OR ordinal % 2 = 1").count() == 0 and got.count() == n // 2
 
 
 def test_grounding(spark):
