@@ -18,6 +18,7 @@ from saidso.functions import urls as U
 from saidso.operators import appearances as A
 from saidso.operators import drift as D
 from saidso.operators import extraction as X
+from saidso.operators import retrieval as R
 from saidso.operators import sync as Y
 from saidso.operators import votes as V
 from saidso.plans.driver_tables import ledger, table
@@ -338,3 +339,163 @@ def extract_dropped(spark: SparkSession, sf: str) -> DataFrame:
     """Every dropped candidate with its reason; the wording of a wrong speaker is not compared."""
     _, dropped = _interviews(spark, sf)
     return dropped.select("candidate_id", F.when(F.col("candidate_id").cast("long") % 6 == 2, "label").otherwise(F.col("reason")).alias("reason"))
+
+
+def _ledger_files(spark: SparkSession, sf: str, wrap: Callable[[Column], Column]) -> str:
+    """The ledger as JSON files, one for each of 16 groups of people; `wrap` makes a file of the list of its claims."""
+    c = ledger(spark, sf)
+    g = F.col("grading")
+    graded = F.when(g.isNotNull(), F.struct(g["verdict"].alias("verdict"), g["confidence"].alias("confidence"), g["rationale"].alias("rationale"), g["resolved_on"].cast("string").alias("resolvedOn"), g["graded_by"].alias("gradedBy")))
+    claim = F.struct(
+        "id", "person", F.col("person_slug").alias("personSlug"), F.concat("quote", F.lit(' "}, {" \\ [')).alias("quote"), F.col("quote_verified").alias("quoteVerified"), "claim", "type", "topic", F.col("said_date").cast("string").alias("saidDate"),
+        F.col("target_date").cast("string").alias("targetDate"), "hedge", F.col("implied_probability").alias("impliedProbability"), "specificity", F.struct("source.title", "source.url", "source.kind").alias("source"), "verdict", graded.alias("grading"), "origin",
+    )
+    rows = c.select(F.pmod(F.xxhash64("person_slug"), F.lit(16)).alias("file"), F.to_json(claim).alias("j"))
+    files = rows.groupBy("file").agg(F.array_join(F.sort_array(F.collect_list("j")), ",\n").alias("list"))
+    root = scratch(spark)
+    files.select("file", wrap(F.col("list")).alias("value")).write.partitionBy("file").text(root)
+    return f"{root}/*"
+
+
+LEDGER_FIELDS_SQL = f"""
+WITH {LEDGER} SELECT id, person_slug, concat(quote, ' "}}, {{" \\ [') AS quote, claim, CAST(said_date AS DATE) AS said_date, CAST(target_date AS DATE) AS target_date, verdict, verdict NOT IN ('pending', 'too_early') AS graded, source_url AS url FROM ledger"""
+
+
+@query(LEDGER_FIELDS_SQL)
+def ledger_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Ledger files read back, quotes full of brackets and quotation marks included."""
+    path = _ledger_files(spark, sf, lambda rows: F.concat(F.lit('{"version": 1, "claims": [\n'), rows, F.lit("\n]}")))
+    return LF.read_claims(spark, path).select("id", "person_slug", "quote", "claim", "said_date", "target_date", "verdict", F.col("grading").isNotNull().alias("graded"), F.col("source.url").alias("url"))
+
+
+@query(LEDGER_FIELDS_SQL.replace(" FROM ledger", ", id AS given_id FROM ledger"))
+def part_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Part files (bare lists) read as one ledger, ids computed anew."""
+    parts = LF.read_parts(spark, _ledger_files(spark, sf, lambda rows: F.concat(F.lit("["), rows, F.lit("]"))))
+    return parts.select("id", "person_slug", "quote", "claim", "said_date", "target_date", "verdict", F.col("grading").isNotNull().alias("graded"), F.col("source.url").alias("url"), "given_id")
+
+
+@query(f"""
+WITH {LEDGER} SELECT id, CAST(2 AS BIGINT) AS copies FROM ledger WHERE CAST(replace(person_slug, 'person-', '') AS BIGINT) % 5 = 0""")
+def part_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Claims that two parts hold."""
+    parts = LF.read_parts(spark, _ledger_files(spark, sf, lambda rows: F.concat(F.lit("["), rows, F.lit("]"))))
+    again = parts.where(F.replace("person_slug", F.lit("person-"), F.lit("")).cast("long") % 5 == 0).withColumn("part", F.lit("again.json"))
+    return LF.part_problems(parts.unionByName(again)).select("id", "copies")
+
+
+@query(f"""
+WITH said AS (SELECT conv_id, turn, trim({SPOKEN}) AS said FROM conversations)
+SELECT concat(conv_id, CASE conv_id % 2 WHEN 0 THEN '.vtt' ELSE '.json' END) AS transcript_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS seg_no,
+  CAST(turn * 30 AS DOUBLE) AS start, said AS text
+FROM said""")
+def rolling_captions(spark: SparkSession, sf: str) -> DataFrame:
+    """Captions that scroll: every line comes with the one before it, first its beginning, then all of it, then again."""
+    said = F.trim(_text("turn ", F.col("turn"), " ", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9]+", " "))))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", said.alias("said"), (F.col("turn") * 30).alias("at"))
+    lines = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "at", "said"))).alias("t"))
+    before = lambda i: F.coalesce(F.get("t", i - 1)["said"], F.lit("[Music]"))
+    head = lambda x: _text("turn ", x["turn"])
+    clock = lambda sec: F.date_format(F.timestamp_seconds(sec), "HH:mm:ss")
+    cue = lambda x, i: F.concat(clock(x["at"]), F.lit(".000 --> "), clock(x["at"] + 9), F.lit(".000\n"), before(i), F.lit("\n"), head(x), F.lit("\n\n"), clock(x["at"] + 10), F.lit(".000 --> "), clock(x["at"] + 19), F.lit(".000\n"), head(x), F.lit("\n<c>"), x["said"], F.lit("</c>\n"))
+    event = lambda at, text: F.to_json(F.struct((at * 1000).alias("tStartMs"), F.array(F.struct(text.alias("utf8"))).alias("segs")))
+    events = F.flatten(F.transform("t", lambda x, i: F.array(event(x["at"], head(x)), event(x["at"] + 3, x["said"]), event(x["at"] + 6, before(i)), event(x["at"] + 7, x["said"]))))
+    vtt = _text("WEBVTT\n\n", F.array_join(F.transform("t", cue), "\n"))
+    content = F.when(F.col("conv_id") % 2 == 0, vtt).otherwise(_text('{"events":[', F.array_join(events, ","), "]}"))
+    files = lines.select(_text(F.col("conv_id"), F.when(F.col("conv_id") % 2 == 0, ".vtt").otherwise(".json")).alias("file"), content.alias("content"))
+    return CP.route_segments(files)[0].select("transcript_id", F.col("seg_no").cast("int").alias("seg_no"), "start", "text")
+
+
+TRACK_LANGUAGE = "CASE l_suppkey % 7 WHEN 0 THEN 'en' WHEN 1 THEN 'en-US' WHEN 2 THEN 'de' WHEN 3 THEN 'en-orig' WHEN 4 THEN 'EN-gb' WHEN 5 THEN 'en-AU' ELSE 'fr' END"
+
+
+@query(f"""
+WITH t AS (SELECT l_orderkey AS video_id, l_linenumber * 10000000 + l_partkey AS ordinal, {TRACK_LANGUAGE} AS language, CASE WHEN l_linestatus = 'O' THEN 'asr' END AS kind FROM lineitem)
+SELECT video_id, ordinal, language, kind FROM t WHERE lower(language) LIKE 'en%'
+QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY CASE WHEN kind = 'asr' THEN 1 ELSE 0 END,
+  CASE WHEN language = 'en' THEN 0 WHEN lower(language) IN ('en-us', 'en-gb') THEN 1 WHEN language = 'en-orig' THEN 3 WHEN language LIKE 'en%' THEN 2 ELSE 4 END, ordinal) = 1""")
+def caption_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """The line items of an order as caption tracks of a video: the one to use."""
+    tracks = table(spark, sf, "lineitem").selectExpr("l_orderkey AS video_id", "l_linenumber * 10000000 + l_partkey AS ordinal", f"{TRACK_LANGUAGE} AS language", "CASE WHEN l_linestatus = 'O' THEN 'asr' END AS kind")
+    return LF.best_track(tracks).select("video_id", "ordinal", "language", "kind")
+
+
+@query(f"""
+WITH t AS (SELECT DISTINCT l_orderkey AS video_id, {TRACK_LANGUAGE} AS language FROM lineitem)
+SELECT video_id, concat(video_id, '.', language, '.vtt') AS name FROM t
+QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY
+  CASE WHEN language = 'en' THEN 0 WHEN lower(language) IN ('en-us', 'en-gb') THEN 1 WHEN language = 'en-orig' THEN 3 WHEN language LIKE 'en%' THEN 2 ELSE 4 END, concat(video_id, '.', language, '.vtt')) = 1""")
+def subtitle_files(spark: SparkSession, sf: str) -> DataFrame:
+    files = table(spark, sf, "lineitem").selectExpr("CAST(l_orderkey AS STRING) AS video_id", f"concat(l_orderkey, '.', {TRACK_LANGUAGE}, '.vtt') AS name").distinct()
+    return LF.best_subtitle_file(files).select(F.col("video_id").cast("long").alias("video_id"), "name")
+
+
+@query("""
+SELECT CAST(o_orderkey AS VARCHAR) AS file, concat('episode ', o_orderkey) AS title, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE concat('https://example.com/', o_orderkey) END AS url,
+  CASE o_orderkey % 4 WHEN 3 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS date, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE concat('channel ', o_custkey) END AS channel, CAST(o_custkey AS DOUBLE) AS duration_sec
+FROM orders""")
+def episode_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """Downloader metadata of one episode an order: dates as upload day, release day, seconds, or not at all."""
+    key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    title, url, channel = _text(" episode ", key), _text("https://example.com/", key), _text("channel ", F.col("o_custkey"))
+    packed = F.date_format(day, "yyyyMMdd")
+    meta = F.struct(
+        key.cast("string").alias("id"), title.alias("title"), F.when(key % 4 == 1, url).alias("webpage_url"), F.when(key % 4 > 1, url).otherwise(F.lit(" ")).alias("original_url"), F.when(key % 4 == 0, packed).alias("upload_date"), F.when(key % 4 == 1, packed).otherwise("x").alias("release_date"),
+        F.when(key % 4 == 2, F.unix_date(day) * 86400 + 3600).alias("timestamp"), F.when(key % 3 == 1, channel).alias("channel"), F.when(key % 3 == 2, channel).alias("uploader"), F.col("o_custkey").cast("double").alias("duration"),
+    )
+    files = table(spark, sf, "orders").select(key.cast("string").alias("file"), F.to_json(meta).alias("content"))
+    return LF.episode_metadata(files).select("file", "title", "url", "date", "channel", "duration_sec")
+
+
+@query("""
+SELECT conv_id AS transcript_id, count(*) AS segments FROM conversations GROUP BY conv_id""")
+def transcript_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Transcripts stored in two goes that overlap: each is there once, whole."""
+    c = table(spark, sf, "conversations")
+    segments = c.select(F.col("conv_id").alias("transcript_id"), F.col("turn").alias("seg_no"), F.lit(None).cast("double").alias("start"), F.col("role").alias("speaker"), "text")
+    sources = segments.select("transcript_id", _text("https://example.com/talks/", F.col("transcript_id")).alias("source")).distinct()
+    root = scratch(spark)
+    LF.write_transcripts(segments, sources.where("transcript_id % 3 = 0"), root)
+    LF.write_transcripts(segments, sources, root)
+    return spark.read.parquet(root).groupBy("transcript_id").agg(F.count("*").alias("segments"))
+
+
+@query("""
+SELECT o_orderkey AS question_id, concat('answer ', o_orderkey, CASE WHEN o_orderkey % 4 = 2 THEN ' new' ELSE '' END) AS answer, CAST(o_custkey AS VARCHAR) AS cited
+FROM orders WHERE o_orderkey % 4 <> 1 AND o_orderkey % 4 <> 3""")
+def same_question(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions asked before in other letters and marks: the newest recording whose claims all still exist; by key, one recording, one of
+    another day, two, and one that cites a claim that is gone."""
+    key, orders = F.col("o_orderkey"), table(spark, sf, "orders")
+    misses = orders.select(key.alias("question_id"), _text("What did person ", F.col("o_custkey"), " say about order ", key, "?").alias("question"), F.lit("2001-01-01").alias("today"))
+    asked = _text("  what DID person ", F.col("o_custkey"), " say - about order ", key)
+    cited = F.when(key % 4 == 3, F.array(F.col("o_custkey").cast("string"), F.lit("gone"))).otherwise(F.array(F.col("o_custkey").cast("string"), F.col("o_custkey").cast("string")))
+    day = F.when(key % 4 == 1, "2000-12-31").when(key % 4 == 0, F.lit(" 2001-01-01 "))
+    old = orders.select(asked.alias("question"), day.alias("today"), _text(" answer ", key, " ").alias("answer"), cited.alias("cited"), F.lit(dt.datetime(2000, 1, 1)).alias("recorded_at"))
+    new = orders.where(key % 4 == 2).select(asked.alias("question"), day.alias("today"), _text("answer ", key, " new").alias("answer"), cited.alias("cited"), F.lit(dt.datetime(2000, 1, 2)).alias("recorded_at"))
+    claims = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"))
+    return LF.same_question(misses, old.unionByName(new), claims).select("question_id", "answer", F.array_join("cited", ",").alias("cited"))
+
+
+@query("""
+SELECT o_orderkey AS question_id, CASE o_orderkey % 6
+    WHEN 1 THEN 'it cited no statement from the ledger'
+    WHEN 2 THEN concat('it quoted words that are in no statement ("order ', o_orderkey + 1, ' has priority")')
+    WHEN 3 THEN 'it dated a quote 1901-01-01, which is not when it was said' END AS problem,
+  CASE WHEN o_orderkey % 6 <> 1 THEN CAST(o_orderkey AS VARCHAR) END AS cited
+FROM orders""")
+def answer_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """An answer about each order, quoting it: sound, without a source, with other words, with another day, about a deadline, and in two parts."""
+    key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    quote = _text("order ", key, " has priority ", F.lower("o_orderpriority"))
+    said = _text("On ", day, ' they said "order ', key, ' has priority" and "yes".')
+    answer = _case(
+        key, 6, said, said, _text("On ", day, ' they said "order ', key + 1, ' has priority".'), _text('On 1901-01-01 they said "order ', key, ' has priority".'),
+        _text("It falls due ", F.date_add(day, 9), ': "order ', key, ' has priority".'), _text("On ", day, ' they said "order ', key, "... ", F.lower("o_orderpriority"), '".'),
+    )
+    orders = table(spark, sf, "orders")
+    own = key.cast("string")
+    cited = F.when(key % 6 == 1, F.array(F.lit("none"))).otherwise(F.array(own, F.lit("none"), own))
+    answers = orders.select(key.alias("question_id"), answer.alias("answer"), cited.alias("cited_claim_ids"), F.when(key % 6 == 4, "due").otherwise("general").alias("kind"))
+    context = orders.select(key.alias("question_id"), own.alias("id"), quote.alias("quote"), day.alias("said_date"), F.date_add(day, 9).alias("target_date"))
+    return R.answer_problems(answers, context).select("question_id", "problem", F.array_join("cited", ",").alias("cited"))
