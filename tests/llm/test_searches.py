@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from test_near_copies import components
 from tokenizers import Tokenizer
 
 import corpus_pipeline
