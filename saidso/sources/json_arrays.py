@@ -43,13 +43,14 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
 def elements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(file, n, json): the objects of each file's array in order; and (file, listed, head, tail): whether the file is a bare
     list, and what stands before and after its array. The array is the file itself, or one in the object that the file is."""
-    rows = pieces(spark, path).withColumn("_text", _unescaped(F.col("piece")))
+    cut = pieces(spark, path)
+    begin = cut.groupBy("file").agg(F.min_by("piece", "at").alias("head"), F.max_by("piece", "at").alias("tail"))
+    begin = materialize(begin.withColumn("listed", F.ltrim("head").startswith("[")))
+    rows = cut.withColumn("_text", _unescaped(F.col("piece")))
     quotes = F.length("_text") - F.length(F.replace("_text", F.lit('"'), F.lit("")))
     rows = in_order(rows, ["file"], "at", running={"quotes": quotes}, block=BLOCK_BYTES)
     rows = rows.withColumn("_delta", _depth(F.col("_text"), F.col("quotes") % 2 == 1)).withColumn("_open", (F.col("quotes") + quotes) % 2 == 0)
     rows = in_order(rows, ["file"], "at", running={"depth": F.col("_delta")}, block=BLOCK_BYTES)
-    begin = rows.groupBy("file").agg(F.min_by("piece", "at").alias("head"), F.max_by("piece", "at").alias("tail"))
-    begin = begin.withColumn("listed", F.ltrim("head").startswith("["))
     rows = rows.join(begin.select("file", "listed"), "file")
     # A byte-order mark or blanks may stand before the list.
     deep = F.when(F.col("listed"), 1).otherwise(2)
