@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -189,6 +194,10 @@ def extract_claims(candidates: DataFrame, segments: DataFrame, sources: DataFram
 RUN_ROWS = 4096
 #: Rows of a component that one task settles.
 PART_ROWS = 20_000
+#: Keys a Python worker hands on at a time, about.
+KEY_ROWS = 200_000
+#: Segments that similar word sets share at least; unlike sets rarely share as many.
+AGREED = 4
 
 
 def _similar(a: Column, b: Column) -> Column:
@@ -197,29 +206,131 @@ def _similar(a: Column, b: Column) -> Column:
     return F.when(union == 0, True).otherwise(shared / union >= NEAR_DUPLICATE)
 
 
+#: Sizes of word sets fall into classes that end at these; a set of at most 5/4 the size is in the same class or the next.
+TOPS = [1]
+while TOPS[-1] < 1 << 31:
+    TOPS.append(-(-5 * TOPS[-1] // 4))
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def segment_keys(words: np.ndarray, block: int, size_class: int) -> np.ndarray:
+    """A key for each segment of a set of word hashes, equal where two sets of a block hold the same words in it.
+
+    Sets of sizes a and b with Jaccard similarity of 0.8 differ in at most (a + b) / 9 words. There are `AGREED` segments more
+    than words that the largest sets of the class may differ in, so as many at least hold no difference.
+    """
+    n = 2 * TOPS[size_class] // 9 + AGREED
+    held = np.zeros(n, np.uint64)
+    np.add.at(held, (words % np.uint64(n)).astype(np.intp), words)
+    place = (np.arange(n, dtype=np.uint64) << np.uint64(8)) + np.uint64(size_class)
+    return _mix(held ^ _mix(place ^ np.uint64(block)))
+
+
+def parity_sketch(words: np.ndarray, size_class: int) -> np.ndarray:
+    """As many bits as the sets of the class have words at most, each the parity of the words it stands for: two sets differ in no fewer words than bits."""
+    n = (TOPS[size_class] + 63) // 64 * 64
+    odd = np.bincount((_mix(words) % np.uint64(n)).astype(np.intp), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _hashes(values: pa.ListArray) -> list[np.ndarray]:
+    flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    ends = np.cumsum(pc.list_value_length(values).to_numpy(zero_copy_only=False))[:-1]
+    return np.split(flat, ends)
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, node, n, own: the keys of each set in its own class, and in the next one where that has sets near its size."""
+    for batch in batches:
+        nodes, blocks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "block"))
+        parts, rows = [], 0
+        for node, block, words in zip(nodes, blocks.view(np.uint64), _hashes(batch.column("hashes"))):
+            n = len(words)
+            own = bisect_left(TOPS, n)
+            for c in range(own, own + 1 + (5 * n // 4 > TOPS[own])):
+                keys = segment_keys(words, block, c).view(np.int64)
+                parts.append((keys, np.full(len(keys), node), np.full(len(keys), n, np.int32), np.full(len(keys), c == own)))
+                rows += len(keys)
+            if rows >= KEY_ROWS:
+                yield _key_batch(parts)
+                parts, rows = [], 0
+        if parts:
+            yield _key_batch(parts)
+
+
+def _key_batch(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["key", "node", "n", "own"])
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, n, and the sketches of each set in its own class and the next."""
+    for batch in batches:
+        words = _hashes(batch.column("hashes"))
+        size = [len(w) for w in words]
+        own, above = ([parity_sketch(w, bisect_left(TOPS, len(w)) + up) for w in words] for up in (0, 1))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("node"), pa.array(size, pa.int32()), pa.array(own, pa.list_(pa.int64())), pa.array(above, pa.list_(pa.int64()))],
+            names=["node", "n", "own", "above"],
+        )
+
+
+def _node(key: str) -> Column:
+    return F.xxhash64(key)
+
+
+def _sets(variants: DataFrame, block: str, key: str, words: str) -> DataFrame:
+    """node, block, hashes: the word sets in numbers."""
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return variants.select(_node(key).alias("node"), _node(block).alias("block"), hashes.alias("hashes")).where(F.size("hashes") > 0)
+
+
+def _candidates(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that agree in enough segments and may be near by size. `sets`: node, block, hashes."""
+    keyed = sets.mapInArrow(_keyed, "key long, node long, n int, own boolean")
+    shared = keyed.repartition("key").dropDuplicates(["key", "node", "n"])
+    shared = materialize(shared.withColumn("times", F.count("*").over(W.partitionBy("key"))).where("times > 1").drop("times"))
+    x, y = shared.where("own").alias("x"), shared.alias("y")
+    near = (5 * F.least("x.n", "y.n") >= 4 * F.greatest("x.n", "y.n")) & ((~F.col("y.own")) | (F.col("x.node") < F.col("y.node")))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & near)
+    pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    return materialize(pairs.groupBy("a", "b").agg(F.count("*").alias("times")).where(F.col("times") >= AGREED).select("a", "b"))
+
+
+def _within(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose sketches do not rule out 0.8."""
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sketches = materialize(sets.join(asked, "node", "left_semi").mapInArrow(_sketched, "node long, n int, own array<long>, above array<long>").dropDuplicates(["node", "n"]))
+    side = lambda at: sketches.select(F.col("node").alias(at), F.struct("n", "own", "above").alias(f"_{at}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    p, q = F.col("_a"), F.col("_b")
+    small = F.when(p["n"] <= q["n"], p).otherwise(q)
+    large = F.when(p["n"] <= q["n"], q).otherwise(p)
+    same = F.when(F.size(small["own"]) == F.size(large["own"]), small["own"])
+    # Classes of one word of bits look alike in length: the higher sketch is of the same bits then.
+    low = F.coalesce(same, small["above"])
+    apart = F.aggregate(F.zip_with(low, large["own"], lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return met.where((F.size(low) != F.size(large["own"])) | (9 * apart <= p["n"] + q["n"])).select("a", "b")
+
+
 def similar_variants(variants: DataFrame, block: str = "block_key", key: str = "variant", words: str = "words") -> DataFrame:
-    """Pairs (a, b) of distinct word sets in one block with Jaccard similarity of at least 0.8.
+    """Pairs (a, b) of distinct word sets in one block with Jaccard similarity of at least 0.8; a set may be listed more than once.
 
-    Prefix filter: two such sets share one of their rarest n - ceil(0.8 n) + 1 words,
-    so only sets meeting on a rare word of similar size are compared.
+    Sets meet on equal segments, and parity sketches rule out nearly all that are not similar, so that words are sent only
+    for pairs that most likely are. Both are exact; hashes that collide only make more to compare.
     """
     v = variants.select(block, key, words)
-    sized = v.withColumn("n", F.size(words))
-    word = sized.select(block, key, "n", F.explode(words).alias("w"))
-    rarity = word.groupBy("w").agg(F.count("*").alias("df"))
-    ranked = word.join(rarity, "w").groupBy(block, key, "n").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("ws"))
-    keep = F.col("n") - F.ceil(F.col("n") * NEAR_DUPLICATE - 1e-9) + 1
-    prefix = ranked.select(block, key, "n", F.explode(F.slice("ws", F.lit(1), keep.cast("int"))).alias("p")).select(block, key, "n", F.col("p.w").alias("w"))
-    a, b = prefix.alias("a"), prefix.alias("b")
-    close = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * NEAR_DUPLICATE - 1e-9
-    pairs = (
-        a.join(b, (F.col(f"a.{block}") == F.col(f"b.{block}")) & (F.col("a.w") == F.col("b.w")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & close)
-        .select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"))
-        .distinct()
-    )
-    left = v.select(F.col(key).alias("a"), F.col(words).alias("aw"))
-    right = v.select(F.col(key).alias("b"), F.col(words).alias("bw"))
-    return pairs.join(left, "a").join(right, "b").where(_similar(F.col("aw"), F.col("bw"))).select("a", "b")
+    sets = _sets(v, block, key, words)
+    pairs = materialize(_within(_candidates(sets), sets))
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    full = materialize(v.withColumn("node", _node(key)).join(asked, "node", "left_semi").dropDuplicates([block, key]))
+    side = lambda at, to: full.select(F.col("node").alias(at), F.col(block).alias(f"_{to}"), F.col(key).alias(to), F.col(words).alias(f"{to}w"))
+    met = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where((F.col("_x") == F.col("_y")) & (F.col("x") != F.col("y")))
+    return met.where(_similar(F.col("xw"), F.col("yw"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -351,8 +462,7 @@ def dedupe_claims(claims: DataFrame, scope: tuple[str, ...] = ("transcript_id",)
             ).alias("block_key"),
         ).withColumn("variant", F.sha2(F.concat_ws("\x01", "block_key", F.array_join("words", " ")), 256))
     )
-    variants = base.groupBy("block_key", "variant").agg(F.first("words").alias("words"))
-    near = materialize(similar_variants(variants))
+    near = materialize(similar_variants(base))
     # One id in several blocks ties their variants together, each to the smallest.
     per_id = base.select(*scope, "id", "variant").distinct()
     smallest = per_id.groupBy(*scope, "id").agg(F.min("variant").alias("a"), F.max("variant").alias("z")).where("a <> z").drop("z")
