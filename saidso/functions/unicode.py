@@ -1,44 +1,29 @@
 """Unicode compatibility folding, the one text step Spark has no function for.
 
-Only values outside ASCII travel to Python; ASCII rows send NULL through Arrow
-and keep their JVM value.
+Only values outside ASCII are handed to ICU, which comes with Spark; it is called in the JVM, so no row travels to Python and no
+stage keeps Python workers for it.
 """
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
-
-
-@pandas_udf(StringType())
-def _nfkd(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFKD", x), na_action="ignore")
-
-
-@pandas_udf(StringType())
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
-
 
-# Marked so the optimizer never copies a Python call into every place its result is used.
-_nfkd, _nfkc = _nfkd.asNondeterministic(), _nfkc.asNondeterministic()
+_ICU = "com.ibm.icu.text.Normalizer"
 
 
-def _beyond_ascii(s: Column) -> Column:
-    return F.when(s.rlike(r"[^\x{00}-\x{7F}]"), s)
+def _by_icu(s: Column, method: str) -> Column:
+    # The last argument asks for compatibility forms.
+    folded = F.reflect(F.lit(_ICU), F.lit(method), s, F.lit(True))
+    return F.when(s.rlike(r"[^\x{00}-\x{7F}]"), folded).otherwise(s)
 
 
 def nfkd(s: Column) -> Column:
-    return F.coalesce(_nfkd(_beyond_ascii(s)), s)
+    return _by_icu(s, "decompose")
 
 
 def nfkc(s: Column) -> Column:
-    return F.coalesce(_nfkc(_beyond_ascii(s)), s)
+    return _by_icu(s, "compose")
 
 
 def fold(s: Column) -> Column:
