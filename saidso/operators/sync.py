@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from saidso.functions.wording import (
     numbered_summary, take_kind, take_quality, take_source, take_text, timeline_summary,
 )
+from saidso.session import materialize
 
 
 def page() -> Column:
@@ -38,10 +39,11 @@ def shared_quotes(claims: DataFrame) -> DataFrame:
     """(id, index, total) of claims that share one quote on one day; unique quotes are absent.
 
     The summary travels as a hash, and single-claim groups drop out before the
-    window, which then only sees claims split from one sentence.
+    window, which then only sees claims split from one sentence. Hashes are
+    written once: read twice and asked for nulls, a summary was built three times.
     """
-    keyed = claims.select(
-        "id", "person_slug", "said_date", F.sha2(timeline_summary(F.col("source"), F.col("quote")), 256).alias("quote_hash")
+    keyed = materialize(
+        claims.select("id", "person_slug", "said_date", F.sha2(timeline_summary(F.col("source"), F.col("quote")), 256).alias("quote_hash"))
     )
     group = ("person_slug", "said_date", "quote_hash")
     many = keyed.groupBy(*group).agg(F.count("*").alias("total")).where(F.col("total") > 1)
@@ -82,10 +84,11 @@ def sync_plan(claims: DataFrame, takes: DataFrame) -> DataFrame:
         .join(shared_quotes(todo), "id", "left")
         .withColumn("page", page())
         .withColumn("row", F.coalesce("link.row", "row_num"))
+        .withColumn("own_text", take_text(F.col("claim"), F.col("target_date")))
         .join(on_row, (F.col("page") == F.col("_h")) & (F.col("row") == F.col("_r")), "left")
     )
     quality, recorded = resolvable(), F.col("link.resolved_quality")
-    text = take_text(F.col("claim"), F.col("target_date"))
+    text = F.col("own_text")
     ours = F.col("row_text").eqNullSafe(text)
     held = F.col("row_held")
     open_resolution = quality.isNotNull() & recorded.isNull()
