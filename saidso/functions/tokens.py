@@ -53,6 +53,8 @@ FOLLOWS = {
 _SEP = "\x00"
 # Space-like and opening characters skipped when looking back for the end of a sentence.
 LOOK_BACK = WS[:-1] + r"\"“”'‘’(\[\-]+$"
+# The last character that is none of them; found from the end, where LOOK_BACK is tried at every place.
+LAST_SEEN = "(?s)^.*([^" + LOOK_BACK[1:-2] + ")"
 
 
 def raw_words(text: Column) -> Column:
@@ -60,10 +62,16 @@ def raw_words(text: Column) -> Column:
 
 
 def _norms(words: Column) -> Column:
-    """Normalized forms, one per raw word; the list is joined so each rewrite runs once per text."""
-    s = F.regexp_replace(nfkd(F.array_join(words, _SEP)), r"\p{M}", "")
-    s = F.regexp_replace(F.regexp_replace(F.lower(s), "['‘’ʼ]", ""), r"(?<=\d),(?=\d)", "")
-    return F.when(F.size(words) > 0, F.split(s, _SEP)).otherwise(F.array().cast("array<string>"))
+    """Normalized forms, one per raw word; the list is joined so each rewrite runs once per text, and only where it can change one."""
+
+    def forms(joined: Column) -> Column:
+        folded = F.when(joined.rlike(r"[^\x{00}-\x{7F}]"), F.regexp_replace(nfkd(joined), r"\p{M}", "")).otherwise(joined)
+        s = F.lower(folded)
+        for quote in "'‘’ʼ":
+            s = F.replace(s, F.lit(quote), F.lit(""))
+        return F.split(let(s, lambda x: F.when(F.contains(x, F.lit(",")), F.regexp_replace(x, r"(?<=\d),(?=\d)", "")).otherwise(x)), _SEP)
+
+    return let(F.array_join(words, _SEP), lambda j: F.when(j != "", forms(j)).otherwise(F.array().cast("array<string>")))
 
 
 def numbered_norms(words: Column) -> Column:
@@ -105,12 +113,20 @@ def keep_tokens(tokens: Column, before: Column, after: Column) -> Column:
 def match_tokens(text: Column) -> Column:
     """ARRAY<STRUCT<norm, word>> of one text."""
     none = F.lit(None).cast("string")
-    return let(numbered_norms(raw_words(text)), lambda t: keep_tokens(t, none, none))
+    return let(let(raw_words(text), numbered_norms), lambda t: keep_tokens(t, none, none))
 
 
 def match_words(text: Column) -> Column:
     """ARRAY<STRING> of one text: lower case, no punctuation, no fillers."""
-    return F.transform(match_tokens(text), lambda t: t["norm"])
+    none = F.lit(None).cast("string")
+    dropped = F.array(*map(F.lit, (*FILLERS, "know")))
+
+    def forms(raw: Column) -> Column:
+        kept = let(numbered_norms(raw), lambda t: F.transform(keep_tokens(t, none, none), lambda x: x["norm"]))
+        # Most texts have nothing to split or to drop, and their forms are their words.
+        return let(_norms(raw), lambda n: F.when(F.contains(text, F.lit("%")) | F.arrays_overlap(n, dropped), kept).otherwise(n))
+
+    return let(raw_words(text), forms)
 
 
 def _table(values: dict) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from saidso.functions.tokens import LOOK_BACK
+from saidso.functions.tokens import LAST_SEEN
 
 BLOCK_SEGMENTS = 4096
 
@@ -90,9 +90,9 @@ def layout(
     is the segment's start or the nearest earlier one; `opening` is the last visible
     character before the segment's own words. Columns in `drop` are read but not shuffled.
     """
-    tail = F.regexp_replace(F.concat(speaker_label(), "text"), LOOK_BACK, "")
+    tail = F.regexp_extract(F.concat(speaker_label(), "text"), LAST_SEEN, 1)
     s = segments.withColumn("_label", F.length(speaker_label())).withColumn("n_chars", F.col("_label") + F.length("text"))
-    s = s.withColumn("_end", F.when(tail != "", F.right(tail, F.lit(1)))).drop(*drop)
+    s = s.withColumn("_end", F.nullif(tail, F.lit(""))).drop(*drop)
     placed = in_order(
         s,
         ["transcript_id"],

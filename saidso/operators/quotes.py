@@ -1,8 +1,8 @@
 """Quote verification: was this said, where, and by whom.
 
 An approximate-substring join between candidate quotes and transcripts. A match
-within d edits contains one of d+1 pieces of the quote intact, so three words of
-every piece are looked up in an index of three-word runs; only the token blocks
+within d edits contains one of d+1 pieces of the quote intact, so a few words of
+every piece are looked up in an index of runs of words; only the token blocks
 they hit are aligned. Blocks have a fixed size, so neither a long transcript nor
 a quote that occurs everywhere ever lands in one task, and a match is found the
 same way wherever its transcript is cut:
@@ -18,7 +18,8 @@ same way wherever its transcript is cut:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,9 @@ from saidso.session import materialize
 
 MIN_QUOTE_SCORE = 0.85
 BLOCK_TOKENS = 512
-HALO = 2
+#: Words of a run that is looked up; shorter where the pieces of a quote are.
+RUN = 5
+HALO = RUN - 1
 TOKEN_FIELDS = ("norms", "segs", "words", "names", "voices")
 
 SPANS = T.ArrayType(
@@ -153,7 +156,7 @@ def token_table(segments: DataFrame) -> DataFrame:
     rows = spread(segments.select("transcript_id", "seg_no", "start", "speaker", "text"), ["transcript_id"], "seg_no")
     raw = rows.withColumn("_raw", K.raw_words(F.col("text"))).withColumn("_tok", K.numbered_norms(F.col("_raw")))
     # A capitalized first word is a name only if the line before it did not end a sentence: flagged here, decided below.
-    lead = F.regexp_replace(F.get(F.split("text", K.WORD), F.lit(0)), K.LOOK_BACK, "")
+    lead = F.regexp_replace(F.get(F.split("text", K.WORD, 2), F.lit(0)), K.LOOK_BACK, "")
     cut = materialize(
         raw.withColumn("names", K.entity_flags(F.col("text"), F.col("_raw"), F.lit("x"))).withColumn("opens", lead == "").drop("_raw")
     )
@@ -176,8 +179,8 @@ def token_blocks(tokens: DataFrame, block: int = BLOCK_TOKENS) -> DataFrame:
     """Fixed-size runs of a transcript's token stream, as parallel arrays.
 
     (transcript_id, block, start, norms, segs, words, names, voices, halo): per token
-    its form, segment, raw word position, name flag and speaker; `halo` is the two
-    words after the block, so every three-word run starting in it can be read from it.
+    its form, segment, raw word position, name flag and speaker; `halo` is the
+    words after the block that a run starting in it may have, so every run can be read from it.
     """
     n, pos = F.size("tokens"), F.col("pos")
     cut = tokens.where(n > 0).withColumn(
@@ -225,7 +228,7 @@ def _runs(norms: Column, k: int, upto: Column) -> Column:
     return let(norms, hashes)
 
 
-def block_index(blocks: DataFrame, k: int = 3) -> DataFrame:
+def block_index(blocks: DataFrame, k: int = RUN) -> DataFrame:
     """(transcript_id, block, run): the distinct k-word runs starting in each block."""
     runs = _runs(F.concat("norms", "halo"), k, F.size("norms"))
     return blocks.select("transcript_id", "block", F.explode(F.array_distinct(runs)).alias("run"))
@@ -250,19 +253,71 @@ def prepare_quotes(candidates: DataFrame, min_score: float = MIN_QUOTE_SCORE) ->
     )
 
 
-def _pieces(k: int) -> Column:
-    """The first k words of each of budget+1 equal pieces of the quote, hashed."""
+def _pieces(places: Iterable[int], *mark: Column) -> Column:
+    """The words at `places` of each of budget+1 equal pieces of the quote, hashed after `mark`."""
     return F.transform(
         F.sequence(F.lit(0), F.col("budget")),
         lambda i: let(
-            F.floor(i * F.col("n") / (F.col("budget") + 1)).cast("int"), lambda s: F.xxhash64(*[F.get("q", s + j) for j in range(k)])
+            F.floor(i * F.col("n") / (F.col("budget") + 1)).cast("int"), lambda s: F.xxhash64(*mark, *[F.get("q", s + j) for j in places])
         ),
     )
 
 
 def _run_length() -> Column:
-    """Words a run may have so that it stays inside its piece: three, or as many as the shortest piece has."""
-    return F.least(F.lit(3), F.floor(F.col("n") / (F.col("budget") + 1)))
+    """Words a run may have so that it stays inside its piece: RUN, or as many as the shortest piece has."""
+    return F.least(F.lit(RUN), F.floor(F.col("n") / (F.col("budget") + 1)))
+
+
+def _traces(k: int) -> list[tuple[str, range]]:
+    """What a run of k words that goes over several lines leaves in one of them: a mark, and the places of those words in the run.
+
+    Over two lines, one of them ends (<) or starts (>) with half the run or more; over more, a line in between is all of it (=).
+    """
+    half = (k + 1) // 2
+    ends = [("<", range(half)), (">", range(k - half, k))]
+    return [] if k == 1 else ends + [("=", range(j, j + m)) for m in range(1, k - 1) for j in range(1, k - m)]
+
+
+def _line_ends(words: Column, k: int) -> Column:
+    """Hashes of what runs of k words may have left at the ends of a line."""
+    half = (k + 1) // 2
+
+    def marked(mark: str, w: Column, places: range) -> Column:
+        return F.xxhash64(F.lit(mark), *[F.get(w, F.lit(i)) for i in places])
+
+    def ends(w: Column) -> Column:
+        n = F.size(w)
+        last = F.xxhash64(F.lit("<"), *[F.get(w, n - i) for i in range(half, 0, -1)])
+        both = F.when(n >= half, F.array(last, marked(">", w, range(half)))).otherwise(F.array().cast("array<bigint>"))
+        whole = [F.when(n == m, marked("=", w, range(m))) for m in range(1, k - 1)]
+        return F.concat(both, F.array_compact(F.array(F.coalesce(*whole)))) if whole else both
+
+    def shapes(w: Column) -> Column:
+        # The neighbouring lines decide whether a 'know' in front or a 'you' at the end belongs to a dropped 'you know'.
+        cut = [F.slice(w, F.lit(1 + a), F.greatest(F.size(w) - (a + b), F.lit(0))) for a, b in ((0, 0), (1, 0), (0, 1), (1, 1))]
+        open_ended = (F.get(w, F.lit(0)) == "know") | (F.get(w, F.size(w) - 1) == "you")
+        return F.when(open_ended, F.array(*cut)).otherwise(F.array(w))
+
+    return F.flatten(F.transform(shapes(words), ends))
+
+
+def reached(quotes: DataFrame, segments: DataFrame) -> DataFrame:
+    """transcript_id of every transcript that may hold some piece of a quote word for word; no other can match.
+
+    Read off single lines, so that nothing is laid out, placed or shuffled for transcripts that no quote comes from:
+    a run lies inside a line, or leaves a trace at the end of one.
+    """
+    lengths = sorted(r[0] for r in quotes.select(_run_length().cast("int")).distinct().collect()) or [RUN]
+    parts = [
+        quotes.where(_run_length() == k).select(F.explode(F.flatten(F.array(_pieces(range(k)), *[_pieces(p, F.lit(m)) for m, p in _traces(k)]))).alias("run"))
+        for k in lengths
+    ]
+    marks = materialize(reduce(DataFrame.unionByName, parts).distinct())
+    lines = segments.select("transcript_id", K.match_words(F.col("text")).alias("w"))
+    held = [x for k in lengths for x in (_runs(F.col("w"), k, F.size("w")), *([_line_ends(F.col("w"), k)] if k > 1 else []))]
+    # The outer form keeps the optimizer from computing the list once more to see that it is not empty.
+    hits = lines.select("transcript_id", F.explode_outer(F.concat(*held)).alias("run")).join(marks, "run", "left_semi")
+    return materialize(hits.select("transcript_id").distinct())
 
 
 def _units(quotes: DataFrame, blocks: DataFrame, scoped: bool) -> DataFrame:
@@ -270,11 +325,11 @@ def _units(quotes: DataFrame, blocks: DataFrame, scoped: bool) -> DataFrame:
     on = ["transcript_id", "run"] if scoped else ["run"]
     key = ["candidate_id", "transcript_id"] if scoped else ["candidate_id"]
     found = None
-    for k in (1, 2, 3):
+    for k in range(1, RUN + 1):
         part = quotes.where(_run_length() == k)
-        if k < 3 and part.isEmpty():
+        if k < RUN and part.isEmpty():
             continue
-        runs = part.select(*key, F.explode(_pieces(k)).alias("run")).distinct()
+        runs = part.select(*key, F.explode(_pieces(range(k))).alias("run")).distinct()
         hits = block_index(blocks, k).join(runs, on).select("candidate_id", "transcript_id", "block")
         found = hits if found is None else found.unionByName(hits)
     return found.distinct()
@@ -320,11 +375,15 @@ def verify_quotes(
     if not 0 < min_score <= 1:
         raise ValueError("min_score must be above 0 and at most 1")
     # Read several times below: written once, so the planner also knows which side is small.
-    blocks = materialize(token_blocks(token_table(segments), block))
     quotes = materialize(prepare_quotes(candidates, min_score))
     usable = quotes.where(F.col("n") > 0)
+    if not scoped:
+        segments = materialize(segments.join(reached(usable, segments), "transcript_id", "left_semi"))
+    blocks = materialize(token_blocks(token_table(segments), block))
     units = _units(usable, blocks, scoped)
     win = _windows(units, usable, blocks, F.col("n") + F.col("budget"), scoped, block)
+    # Aligned in as many tasks as there are, however few the bytes: the work is in the alignment.
+    win = win.repartition(int(win.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     spans = _spans(F.col("codes"), F.transform("norms", lambda w: F.xxhash64(w)), F.col("segs"), F.col("budget"), F.col("after"))
     key = ["candidate_id", "transcript_id"]
     at = win.withColumn("span", F.explode(spans))

@@ -122,6 +122,35 @@ def test_verify_quotes_at_lower_scores(spark):
                 assert abs(got[n].score - (1 - low / len(q))) < 6e-4
 
 
+def test_transcripts_that_no_quote_comes_from_are_not_laid_out(spark):
+    rng = random.Random(31)
+    vocab = [f"w{chr(97 + i)}" for i in range(12)] + ["you", "know", "um"]
+    segs, quotes = [], []
+    for t in range(30):
+        words = [rng.choice(vocab) for _ in range(60)]
+        quotes += [words[a : a + n] for a, n in ((rng.randint(0, 30), rng.choice([1, 2, 7, 9, 14, 22])),) if t % 3 == 0]
+        at = no = 0
+        while at < len(words):
+            n = rng.choice([0, 1, 1, 2, 3, 5])
+            segs.append((f"t{t:02}", no, None, None, " ".join(words[at : at + n])))
+            at, no = at + n, no + 1
+    for t in range(30, 40):
+        segs += [(f"t{t}", i, None, None, f"other words {t} {i}") for i in range(9)]
+    s = spark.createDataFrame(segs, "transcript_id string, seg_no int, start double, speaker string, text string")
+    c = spark.createDataFrame([(i, " ".join(q), None, None) for i, q in enumerate(quotes)], "candidate_id int, quote string, speaker string, host string")
+    pairs = c.crossJoin(s.select("transcript_id").distinct()).withColumn("of", F.col("candidate_id"))
+    each = pairs.withColumn("candidate_id", F.concat("of", F.lit("/"), "transcript_id"))
+    want = Qt.verify_quotes(each, s, block=16).where("coalesce(reason, '') NOT LIKE 'not found%' AND reason IS DISTINCT FROM 'empty quote'")
+    shown = ("transcript_id", "verified", "score", "reason", "matched_text", "char_offset")
+    want = sorted(map(tuple, want.select("of", *shown).collect()), key=str)
+    got = sorted(map(tuple, Qt.verify_quotes(c, s, scoped=False, block=16).select("candidate_id", *shown).collect()), key=str)
+    assert got == want and len(got) > len(quotes)
+    long = Qt.prepare_quotes(c).where("n >= 7")
+    near = {r.transcript_id for r in Qt.reached(long, s).collect()}
+    assert near and not near & {f"t{t}" for t in range(30, 40)}
+    assert {r[1] for r in got if len(quotes[r[0]]) > 12} <= near
+
+
 def test_pages_decode_and_drop_without_bounds(spark):
     cases = {
         "<p>&#x0000000000000041;&#0000000000000066; &#x110000; &#99999999999999999999;</p>": "AB &#x110000; &#99999999999999999999;",
