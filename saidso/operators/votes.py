@@ -112,8 +112,9 @@ def _ref(rows: DataFrame) -> Column:
 
 
 def with_refs(rows: DataFrame) -> DataFrame:
-    """`rows` written once with `ref`, their parsed URL, for jobs that read it several times."""
-    return materialize(rows.withColumn("ref", page_ref(F.col("url"))))
+    """`rows` written once with `ref`, their parsed URL, for jobs that read it several times. Many rows share a URL: each is parsed once."""
+    refs = materialize(rows.select(F.col("url").alias("_page")).distinct().withColumn("ref", page_ref(F.col("_page"))), plain=True)
+    return materialize(rows.join(refs, F.col("url").eqNullSafe(F.col("_page")), "left").drop("_page"))
 
 
 def merge_evidence(evidence: DataFrame, cited: DataFrame, claims: DataFrame) -> DataFrame:
