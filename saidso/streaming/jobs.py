@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from saidso.functions.binding import let
 from saidso.operators.votes import UNITS, normalize_confidence, round2
@@ -164,80 +165,74 @@ DRIFT_OUT = "person_slug string, topic string, said_date date, target_date date,
 EPOCH = dt.date(1970, 1, 1)
 
 
-class ChainDrift(StatefulProcessor):
-    """Per (person, topic): drift labels as claims arrive. A late older claim re-labels its successors, so updates are emitted.
+DRIFT_STATE = "said array<int>, target array<int>, first_id array<string>, last_id array<string>, open_id array<string>, label array<string>, previous array<string>"
 
-    A label belongs to (day said, deadline), like in the batch job, so state and
-    output hold one entry per such pair: the calendar bounds them, not the number
-    of claims in the chain.
-    """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.groups = handle.getMapState(
-            "groups", "said int, target int", "first_id string, last_id string, open_id string, label string, previous string"
-        )
+def _later(pair: tuple) -> tuple:
+    return pair[0], pair[1] is not None, pair[1] or 0
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        groups = {k: v for k, v in self.groups.iterator()}
-        dirty = set()
-        for pdf in rows:
-            for r in pdf.itertuples(index=False):
-                k = (int(r.said), None if pd.isna(r.target) else int(r.target))
-                old = groups.get(k, (r.id, r.id, None, None, None))
-                opens = [x for x in (old[2], r.id if r.verdict != "correct" else None) if x]
-                new = (min(old[0], r.id), max(old[1], r.id), min(opens) if opens else None, old[3], old[4])
-                if new != groups.get(k):
-                    groups[k] = new
-                    dirty.add(k)
-        if not dirty:
-            return
-        out = []
-        labels = self._labels(groups)
-        for k, g in list(groups.items()):
-            label, previous, shift = labels[k]
-            if (label, previous) != (g[3], g[4]):
-                groups[k] = (*g[:3], label, previous)
-                dirty.add(k)
-                target = None if k[1] is None else EPOCH + dt.timedelta(days=k[1])
-                out.append((key[0], key[1], EPOCH + dt.timedelta(days=k[0]), target, label, previous, shift))
-        for k in dirty:
-            self.groups.updateValue(k, groups[k])
-        if out:
-            yield pd.DataFrame(out, columns=["person_slug", "topic", "said_date", "target_date", "label", "previous_claim_id", "shift_days"])
 
-    @staticmethod
-    def _labels(groups):
-        """Label, claim compared with and days moved of every (day said, deadline), in one sweep over the days."""
-        days = defaultdict(list)
-        for (said, target), g in groups.items():
-            days[said].append((target, g))
-        out, last_id, last_dated = {}, None, []
-        for said in sorted(days):
-            for target, _ in days[said]:
-                if last_id is None:
-                    out[said, target] = ("first", None, None)
-                elif target is None or not last_dated:
-                    out[said, target] = ("reaffirmed", last_id, None)
-                elif still_open := [(abs(target - t), g[2], t) for t, g in last_dated if g[2]]:
-                    _, previous, was = min(still_open)
-                    shift = target - was
-                    out[said, target] = ("pushed_later" if shift >= 60 else "pulled_earlier" if shift <= -60 else "reaffirmed", previous, shift)
-                else:
-                    out[said, target] = ("reaffirmed", min((abs(target - t), g[0]) for t, g in last_dated)[1], None)
-            last_id = max(g[1] for _, g in days[said])
-            last_dated = [(t, g) for t, g in days[said] if t is not None] or last_dated
-        return out
+def chain_drift(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Per (person, topic): drift labels as claims arrive. A late older claim re-labels its successors, so updates are emitted.
 
-    def close(self) -> None:
-        pass
+    A label belongs to (day said, deadline), like in the batch job, so state and
+    output hold one entry per such pair: the calendar bounds them, not the number
+    of claims in the chain. The state of a chain is one value that comes and goes
+    with the chain's rows, so a chain costs no call of its own to the state store.
+    """
+    groups = {(k[0], k[1]): tuple(k[2:]) for k in zip(*state.get)} if state.exists else {}
+    changed = False
+    for pdf in rows:
+        for id, verdict, said, target in zip(*(pdf[c].tolist() for c in ("id", "verdict", "said", "target"))):
+            k = (int(said), None if target is None or target != target else int(target))
+            old = groups.get(k, (id, id, None, None, None))
+            opens = [x for x in (old[2], id if verdict != "correct" else None) if x]
+            new = (min(old[0], id), max(old[1], id), min(opens) if opens else None, old[3], old[4])
+            if new != groups.get(k):
+                groups[k] = new
+                changed = True
+    if not changed:
+        return
+    out = []
+    labels = _drift_labels(groups)
+    for k, g in list(groups.items()):
+        label, previous, shift = labels[k]
+        if (label, previous) != (g[3], g[4]):
+            groups[k] = (*g[:3], label, previous)
+            target = None if k[1] is None else EPOCH + dt.timedelta(days=k[1])
+            out.append((key[0], key[1], EPOCH + dt.timedelta(days=k[0]), target, label, previous, shift))
+    state.update(tuple(map(list, zip(*((*k, *groups[k]) for k in sorted(groups, key=_later))))))
+    if out:
+        yield pd.DataFrame(out, columns=["person_slug", "topic", "said_date", "target_date", "label", "previous_claim_id", "shift_days"], dtype=object)
+
+
+def _drift_labels(groups):
+    """Label, claim compared with and days moved of every (day said, deadline), in one sweep over the days."""
+    days = defaultdict(list)
+    for (said, target), g in groups.items():
+        days[said].append((target, g))
+    out, last_id, last_dated = {}, None, []
+    for said in sorted(days):
+        for target, _ in days[said]:
+            if last_id is None:
+                out[said, target] = ("first", None, None)
+            elif target is None or not last_dated:
+                out[said, target] = ("reaffirmed", last_id, None)
+            elif still_open := [(abs(target - t), g[2], t) for t, g in last_dated if g[2]]:
+                _, previous, was = min(still_open)
+                shift = target - was
+                out[said, target] = ("pushed_later" if shift >= 60 else "pulled_earlier" if shift <= -60 else "reaffirmed", previous, shift)
+            else:
+                out[said, target] = ("reaffirmed", min((abs(target - t), g[0]) for t, g in last_dated)[1], None)
+        last_id = max(g[1] for _, g in days[said])
+        last_dated = [(t, g) for t, g in days[said] if t is not None] or last_dated
+    return out
 
 
 def live_drift(stream: DataFrame) -> DataFrame:
     """`stream`: id, person_slug, topic, said_date, target_date, verdict. Emits a row per (day said, deadline) whose label changed."""
     days = stream.select("person_slug", "topic", "id", "verdict", F.unix_date("said_date").alias("said"), F.unix_date("target_date").cast("double").alias("target"))
-    return days.groupBy("person_slug", "topic").transformWithStateInPandas(
-        statefulProcessor=ChainDrift(), outputStructType=DRIFT_OUT, outputMode="Update", timeMode="None"
-    )
+    return days.groupBy("person_slug", "topic").applyInPandasWithState(chain_drift, DRIFT_OUT, DRIFT_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
