@@ -75,23 +75,29 @@ def _xor(value: str, masks: list[int]) -> Column:
     return F.transform(_longs(masks), lambda m: F.col(value).bitwiseXOR(m))
 
 
+def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of two tables that both grow with the input. The planner takes what an explode makes for as small as what it was made
+    from, and would send millions of variants through the driver; sorted and merged, neither side is broadcast."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (a, b), a < b, between the distinct `fp` values within `radius`: enough of them to join all that are linked."""
     sides = F.array(F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(1 << 32)))
     exact = fingerprints.select("fp", F.explode(sides).alias("key"))
     held = exact.groupBy("key").agg(F.count("*").alias("n_exact"))
     variants = exact.select("fp", F.col("key").alias("own"), F.explode(_xor("key", _masks(range(32), range(radius // 2 + 1)))).alias("key"))
-    met = variants.join(held, "key").where((F.col("key") != F.col("own")) | (F.col("n_exact") > 1)).select("key", "fp", "n_exact")
+    met = merged(variants, held, "key").where((F.col("key") != F.col("own")) | (F.col("n_exact") > 1)).select("key", "fp", "n_exact")
     met = materialize(met)
     sizes = materialize(met.groupBy("key").agg((F.count("*") * F.max("n_exact")).alias("pairs")))
 
     small = sizes.where(F.col("pairs") <= PAIRS).select("key")
-    pairs = met.select("key", "fp").join(small, "key").join(exact.withColumnRenamed("fp", "other"), "key")
+    pairs = merged(merged(met.select("key", "fp"), small, "key"), exact.withColumnRenamed("fp", "other"), "key")
     close = pairs.where((F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius))
     direct = close.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
 
     large = sizes.where(F.col("pairs") > PAIRS).select("key")
-    crowded = met.select("key", "fp").unionByName(exact.select("key", "fp")).join(large, "key").select("fp").distinct()
+    crowded = merged(met.select("key", "fp").unionByName(exact.select("key", "fp")), large, "key").select("fp").distinct()
     return materialize(direct.unionByName(stars(materialize(crowded), radius)).distinct())
 
 
@@ -110,7 +116,7 @@ def stars(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
     """`edges` with the `m` of their `a`; the second key makes the planner deal both sides anew, so that it can split a hub."""
-    return edges.withColumn("_k", F.xxhash64("a")).join(least.withColumn("_k", F.xxhash64("a")), ["_k", "a"]).drop("_k")
+    return merged(edges.withColumn("_k", F.xxhash64("a")), least.withColumn("_k", F.xxhash64("a")), ["_k", "a"]).drop("_k")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -140,13 +146,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id
 
 def labelled(marked: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """`marked` (fp and more) with component_id: the smallest `_id` of `nodes` (fp, _id) in the component (node, label) of its fp."""
-    named = labels.join(nodes, labels["node"] == nodes["fp"]).select("node", "label", "_id")
+    named = merged(labels, nodes, labels["node"] == nodes["fp"]).select("node", "label", "_id")
     # Keys repeated as a hash are dealt out anew, so that a component or fingerprint with many rows can be split.
     smallest = named.groupBy("label").agg(F.min("_id").alias("component_id")).withColumn("_k", F.xxhash64("label"))
-    joined = named.withColumn("_k", F.xxhash64("label")).join(smallest, ["_k", "label"]).select(F.col("node").alias("fp"), "component_id")
-    alone = nodes.join(labels, nodes["fp"] == labels["node"], "left_anti").select("fp", F.col("_id").alias("component_id"))
+    joined = merged(named.withColumn("_k", F.xxhash64("label")), smallest, ["_k", "label"]).select(F.col("node").alias("fp"), "component_id")
+    alone = merged(nodes, labels, nodes["fp"] == labels["node"], "left_anti").select("fp", F.col("_id").alias("component_id"))
     every = materialize(joined.unionByName(alone)).withColumn("_k", F.xxhash64("fp"))
-    return marked.withColumn("_k", F.xxhash64("fp")).join(every, ["_k", "fp"]).drop("_k")
+    return merged(marked.withColumn("_k", F.xxhash64("fp")), every, ["_k", "fp"]).drop("_k")
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

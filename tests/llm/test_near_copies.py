@@ -4,7 +4,7 @@ import random
 from collections import defaultdict
 
 import corpus_pipeline
-from saidso.llm import jaccard
+from saidso.llm import jaccard, simhash
 
 DOCS = "doc_id long, text string"
 
@@ -69,3 +69,15 @@ def test_pipeline_stage_drops_near_copies(spark):
     want = components(rows)
     assert len({*want.values()}) < len({shingle_set(t) for _, t in rows})
     assert sorted(r.doc_id for r in corpus_pipeline.distinct_documents(spark, docs, "").collect()) == sorted({*want.values()})
+
+
+def test_simhash_broadcasts_no_table_that_grows(spark, monkeypatch):
+    plans, keep = [], simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, changed(rng, base, 1)) for i in range(40)] + [(100 + i, f"word{i}") for i in range(40)]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, DOCS))
+    assert len({r.component_id for r in found.collect()}) > 1
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) > 5 and not any("Broadcast" in p for p in plans)
