@@ -137,20 +137,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` without its text, with fp (signed 64-bit fingerprint), text_key and component_id (the smallest id reachable)."""
-    read = docs.drop(*(c for c in ("fp", "text_key", "component_id", "_k", "_id") if c not in (doc_id, text)))
+    """`docs` without its text, with fp (signed 64-bit fingerprint), text_key, component (the smallest fingerprint reachable) and
+    component_id (the smallest id reachable)."""
+    read = docs.drop(*(c for c in ("fp", "text_key", "component", "component_id", "_k", "_id") if c not in (doc_id, text)))
     marked = materialize(read.withColumns({"fp": fingerprint(F.col(text)), "text_key": F.xxhash64(text)}).drop(text))
     nodes = materialize(marked.groupBy("fp").agg(F.min(doc_id).alias("_id")))
     return labelled(marked, nodes, materialize(components(links(nodes.select("fp"), radius))))
 
 
 def labelled(marked: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """`marked` (fp and more) with component_id: the smallest `_id` of `nodes` (fp, _id) in the component (node, label) of its fp."""
+    """`marked` (fp and more) with component, the label of its fp in `labels` (node, label), and component_id, the smallest `_id` of
+    `nodes` (fp, _id) there. Two components may have one smallest id, as ids may repeat, or none."""
     named = merged(labels, nodes, labels["node"] == nodes["fp"]).select("node", "label", "_id")
     # Keys repeated as a hash are dealt out anew, so that a component or fingerprint with many rows can be split.
     smallest = named.groupBy("label").agg(F.min("_id").alias("component_id")).withColumn("_k", F.xxhash64("label"))
-    joined = merged(named.withColumn("_k", F.xxhash64("label")), smallest, ["_k", "label"]).select(F.col("node").alias("fp"), "component_id")
-    alone = merged(nodes, labels, nodes["fp"] == labels["node"], "left_anti").select("fp", F.col("_id").alias("component_id"))
+    joined = merged(named.withColumn("_k", F.xxhash64("label")), smallest, ["_k", "label"]).select(F.col("node").alias("fp"), F.col("label").alias("component"), "component_id")
+    alone = merged(nodes, labels, nodes["fp"] == labels["node"], "left_anti").select("fp", F.col("fp").alias("component"), F.col("_id").alias("component_id"))
     every = materialize(joined.unionByName(alone)).withColumn("_k", F.xxhash64("fp"))
     return merged(marked.withColumn("_k", F.xxhash64("fp")), every, ["_k", "fp"]).drop("_k")
 
@@ -161,9 +163,9 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def first_of(docs: DataFrame, grouped: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay by `grouped` (doc_id, text_key, fp, component_id): one row of each component's smallest id."""
+    """The rows of `docs` that stay by `grouped` (doc_id, text_key, component): one row of each component's smallest id."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    first = grouped.groupBy(F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).alias("c")).agg(F.min(order).alias("k"))
+    first = grouped.groupBy("component").agg(F.min(order).alias("k"))
     stay = first.select(F.col("k.doc_id").alias("__near_id"), F.col("k.text_key").alias("__near_key")).distinct()
     times = grouped.groupBy("doc_id", "text_key").agg(F.count("*").alias("__near_n"))
     stay = materialize(stay.join(times, F.col("__near_id").eqNullSafe(F.col("doc_id")) & (F.col("__near_key") == F.col("text_key"))).select("__near_id", "__near_key", "__near_n"))

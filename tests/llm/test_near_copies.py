@@ -81,3 +81,16 @@ def test_simhash_broadcasts_no_table_that_grows(spark, monkeypatch):
     assert len({r.component_id for r in found.collect()}) > 1
     plans.append(found._jdf.queryExecution().executedPlan().toString())
     assert sum("SortMergeJoin" in p for p in plans) > 5 and not any("Broadcast" in p for p in plans)
+
+
+def test_documents_that_share_an_id_are_not_near_copies(spark):
+    rng = random.Random(9)
+    a, b, c = ([f"{x}{rng.randrange(5000)}" for _ in range(100)] for x in "abc")
+    texts = [" ".join(a), " ".join(b), changed(rng, a, 1), " ".join(c), changed(rng, c, 1)]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[2]), (None, texts[3]), (None, texts[4])]
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.distinct_documents(spark, docs, "").collect()]
+    assert sorted(kept[:], key=str) in [sorted([rows[0], rows[1], x], key=str) for x in rows[3:]]
+    # By fingerprints: three texts of a's, b's and c's words stay, whatever their ids.
+    exact = spark.createDataFrame([rows[0], rows[1], rows[3], (2, texts[0]), (None, texts[3])], DOCS)
+    assert sorted((r.doc_id or 0, r.text) for r in simhash.one_of_each(exact).collect()) == sorted([(1, texts[0]), (1, texts[1]), (0, texts[3])])
