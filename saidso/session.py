@@ -74,15 +74,16 @@ def scratch(spark: SparkSession) -> str:
     return f"{(_folder.get() or shared_folder(spark)).rstrip('/')}/saidso-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, plain: bool = False) -> DataFrame:
+def materialize(df: DataFrame, plain: bool = False, **options: str) -> DataFrame:
     """Write `df` once and read it back.
 
     Lineage ends at files that outlive any executor, readers prune columns, and the
     planner knows the size of what it reads, so small tables broadcast by themselves.
     `plain`: neither compressed nor by dictionary, for tables of many short or repeated
     values, whose files are else a fraction of the memory a broadcast of them takes.
+    `options` are those of the writer.
     """
     path = scratch(df.sparkSession)
-    written = df.write.options(**{"compression": "none", "parquet.enable.dictionary": "false"}) if plain else df.write
-    written.parquet(path)
+    how = {"compression": "none", "parquet.enable.dictionary": "false"} if plain else {}
+    df.write.options(**how, **options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

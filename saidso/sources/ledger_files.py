@@ -65,11 +65,12 @@ def read_claims(spark: SparkSession, path: str) -> DataFrame:
         raise
     ends = F.concat("head", "tail")
     fine = ~F.col("listed") & ends.rlike(r'"version"\s*:\s*1(?!\d|\.[0-9]*[1-9])') & F.col("head").rlike(r'"claims"\s*:\s*\[')
+    files = files.select("file", "some", fine.alias("fine"))
     wrong = F.raise_error(F.lit('not a version 1 ledger ({ "version": 1, "claims": [...] })')).cast("boolean")
     # Elements are never dealt by file; files without any are checked on their own.
-    empty = files.join(found.select("file").distinct(), "file", "left_anti").withColumn("json", F.lit(None).cast("string"))
-    each = found.join(files, "file").select("json", "listed", "head", "tail").unionByName(empty.select("json", "listed", "head", "tail"))
-    checked = each.where(F.when(fine, F.col("json").isNotNull()).otherwise(wrong))
+    empty = files.where("NOT some").select(F.lit(None).cast("string").alias("json"), "fine")
+    each = found.join(files, "file").select("json", "fine").unionByName(empty)
+    checked = each.where(F.when(F.col("fine"), F.col("json").isNotNull()).otherwise(wrong))
     return _as_claims(checked.select(F.col("json").alias("_json")), F.col("_json")).drop("_json")
 
 

@@ -2,7 +2,10 @@
 
 import json
 import random
+from pathlib import Path
 
+from saidso.plans.rule_queries import QUERIES
+from saidso.session import run_folder
 from saidso.sources import json_arrays as J
 from saidso.sources import ledger_files as LF
 
@@ -27,3 +30,26 @@ def test_elements_of_awkward_files(spark, tmp_path):
         assert {r.file.rsplit("/", 1)[1]: r.listed for r in files.collect()} == {f"{i}.json": i in (0, 1, 4) for i in range(6)}
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_elements_across_many_chunks(spark, tmp_path, monkeypatch):
+    rng = random.Random(2)
+    items = [{"id": n, "text": "".join(rng.choice(['}', '{"', "\\", "],", "é", "x"]) for _ in range(rng.choice([0, 3, 400]))), "in": [{"a": {}}] * rng.randint(0, 3)} for n in range(500)]
+    (tmp_path / "list.json").write_text("﻿ \n" + json.dumps(items, indent=1, ensure_ascii=False))
+    (tmp_path / "cut.json").write_text(json.dumps({"version": 1, "claims": items[:9]})[:-4])
+    for size in (1, 100, 5000):
+        monkeypatch.setattr(J, "CHUNK", size)
+        found, files = J.elements(spark, str(tmp_path))
+        got = {}
+        for r in sorted(found.collect(), key=lambda r: r.n):
+            got.setdefault(r.file.rsplit("/", 1)[1], []).append(json.loads(r.json))
+        assert got == {"list.json": items, "cut.json": items[:8]}
+        assert {r.file.rsplit("/", 1)[1]: (r.listed, r.some) for r in files.collect()} == {"list.json": (True, True), "cut.json": (False, True)}
+
+
+def test_ledger_files_take_a_fraction_of_their_text(spark):
+    with run_folder(spark) as folder:
+        assert QUERIES["part_scan"](spark, "/root/testdata/sf0.01").count() == 15_000
+        stored = sum(p.stat().st_size for p in Path(folder.removeprefix("file:")).rglob("*") if p.is_file())
+    # The claims as text take 10 MB.
+    assert stored < 4_000_000
