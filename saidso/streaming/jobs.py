@@ -7,6 +7,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -165,43 +166,61 @@ DRIFT_OUT = "person_slug string, topic string, said_date date, target_date date,
 EPOCH = dt.date(1970, 1, 1)
 
 
-DRIFT_STATE = "said array<int>, target array<int>, first_id array<string>, last_id array<string>, open_id array<string>, label array<string>, previous array<string>"
+#: Chains share this many states at most, so that a batch costs a call for each of them and not for each chain.
+DRIFT_BUCKETS = 1 << 14
+DRIFT_STATE = "entries binary"
+_DRIFT_ENTRIES = pa.schema([*((c, pa.string()) for c in ("person_slug", "topic")), *((c, pa.int32()) for c in ("said", "target")), *((c, pa.string()) for c in ("first_id", "last_id", "open_id", "label", "previous"))])
 
 
-def _later(pair: tuple) -> tuple:
-    return pair[0], pair[1] is not None, pair[1] or 0
+def _read_entries(packed: bytes) -> dict:
+    chains = defaultdict(dict)
+    with pa.ipc.open_stream(packed) as stream:
+        for person, topic, said, target, *entry in zip(*(c.to_pylist() for c in stream.read_all().columns)):
+            chains[person, topic][said, target] = tuple(entry)
+    return chains
 
 
-def chain_drift(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per (person, topic): drift labels as claims arrive. A late older claim re-labels its successors, so updates are emitted.
+def _packed_entries(chains: dict) -> bytes:
+    rows = [(*chain, *k, *g) for chain, groups in chains.items() for k, g in groups.items()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _DRIFT_ENTRIES)], schema=_DRIFT_ENTRIES)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _DRIFT_ENTRIES) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
-    A label belongs to (day said, deadline), like in the batch job, so state and
-    output hold one entry per such pair: the calendar bounds them, not the number
-    of claims in the chain. The state of a chain is one value that comes and goes
-    with the chain's rows, so a chain costs no call of its own to the state store.
+
+def drift_of_bucket(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The (person, topic) chains of a bucket: drift labels as claims arrive. A late older claim re-labels its successors, so
+    updates are emitted.
+
+    A label belongs to (day said, deadline), like in the batch job, so state and output hold one entry per such pair: the
+    calendar bounds them, not the number of claims in a chain. Chains share buckets, as a call for every chain costs more than
+    its labels; only chains that changed are labelled again.
     """
-    groups = {(k[0], k[1]): tuple(k[2:]) for k in zip(*state.get)} if state.exists else {}
-    changed = False
+    chains = _read_entries(state.get[0]) if state.exists else defaultdict(dict)
+    changed = {}
     for pdf in rows:
-        for id, verdict, said, target in zip(*(pdf[c].tolist() for c in ("id", "verdict", "said", "target"))):
+        for person, topic, id, verdict, said, target in zip(*(pdf[c].tolist() for c in ("person_slug", "topic", "id", "verdict", "said", "target"))):
+            groups = chains[person, topic]
             k = (int(said), None if target is None or target != target else int(target))
             old = groups.get(k, (id, id, None, None, None))
             opens = [x for x in (old[2], id if verdict != "correct" else None) if x]
             new = (min(old[0], id), max(old[1], id), min(opens) if opens else None, old[3], old[4])
             if new != groups.get(k):
                 groups[k] = new
-                changed = True
+                changed[person, topic] = groups
     if not changed:
         return
     out = []
-    labels = _drift_labels(groups)
-    for k, g in list(groups.items()):
-        label, previous, shift = labels[k]
-        if (label, previous) != (g[3], g[4]):
-            groups[k] = (*g[:3], label, previous)
-            target = None if k[1] is None else EPOCH + dt.timedelta(days=k[1])
-            out.append((key[0], key[1], EPOCH + dt.timedelta(days=k[0]), target, label, previous, shift))
-    state.update(tuple(map(list, zip(*((*k, *groups[k]) for k in sorted(groups, key=_later))))))
+    for chain, groups in changed.items():
+        labels = _drift_labels(groups)
+        for k, g in list(groups.items()):
+            label, previous, shift = labels[k]
+            if (label, previous) != (g[3], g[4]):
+                groups[k] = (*g[:3], label, previous)
+                target = None if k[1] is None else EPOCH + dt.timedelta(days=k[1])
+                out.append((*chain, EPOCH + dt.timedelta(days=k[0]), target, label, previous, shift))
+    state.update((_packed_entries(chains),))
     if out:
         yield pd.DataFrame(out, columns=["person_slug", "topic", "said_date", "target_date", "label", "previous_claim_id", "shift_days"], dtype=object)
 
@@ -229,10 +248,12 @@ def _drift_labels(groups):
     return out
 
 
-def live_drift(stream: DataFrame) -> DataFrame:
-    """`stream`: id, person_slug, topic, said_date, target_date, verdict. Emits a row per (day said, deadline) whose label changed."""
+def live_drift(stream: DataFrame, buckets: int = DRIFT_BUCKETS) -> DataFrame:
+    """`stream`: id, person_slug, topic, said_date, target_date, verdict. Emits a row per (day said, deadline) whose label changed.
+    A checkpoint is continued with the number of `buckets` it began with."""
     days = stream.select("person_slug", "topic", "id", "verdict", F.unix_date("said_date").alias("said"), F.unix_date("target_date").cast("double").alias("target"))
-    return days.groupBy("person_slug", "topic").applyInPandasWithState(chain_drift, DRIFT_OUT, DRIFT_STATE, "update", GroupStateTimeout.NoTimeout)
+    bucket = F.pmod(F.xxhash64("person_slug", "topic"), F.lit(buckets))
+    return days.withColumn("bucket", bucket).groupBy("bucket").applyInPandasWithState(drift_of_bucket, DRIFT_OUT, DRIFT_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
